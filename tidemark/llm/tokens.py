@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -59,12 +60,28 @@ class Encoder:
             self.cache.clear()
         missing = set().union(*split).difference(self.cache) if split else ()
         missing = list(missing)
-        for piece, ids in zip(missing, self._encode(missing), strict=True):
-            self.cache[piece] = np.asarray(ids, "<u4").tobytes()
+        for lo in range(0, len(missing), 20_000):
+            self._learn(missing[lo : lo + 20_000])
         get = self.cache.__getitem__
         for pieces in split:
             yield b"".join(map(get, pieces))
 
+    def _learn(self, pieces: list[str]) -> None:
+        """One call for many pieces: the library tells which piece each id is of."""
+        encoding = self._model.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids, of = np.asarray(encoding.ids, "<u4"), np.asarray(encoding.word_ids, np.int64)
+        ends = (4 * np.searchsorted(of, np.arange(len(pieces)), side="right")).tolist()
+        data, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends, strict=True):
+            self.cache[piece] = data[start:end]
+            start = end
+
+
+@functools.lru_cache(maxsize=2)
+def shared_encoder(name: str) -> Encoder:
+    """A worker's encoder: its cache of words serves all tasks that the worker runs."""
+    return Encoder(name)
+
 
 def drops_white_space(path: str) -> bool:
     """Whether the file describes a tokenizer whose pieces can be encoded one by one (see Encoder)."""
