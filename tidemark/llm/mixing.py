@@ -115,22 +115,19 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_TABLE_ROWS else df
 
 
-def realise(docs: DataFrame, plan: DataFrame) -> DataFrame:
+def realise(docs: DataFrame, plan: DataFrame, epoch: str = "epoch", order: str = "mix_order") -> DataFrame:
     """docs, each row as often as the plan takes it, with its epoch and its place in the mixture's order."""
-    kept = docs.drop("epoch", "mix_order")
-    own = plan.select(F.col("source").alias("__source"), "passes", "n_blocks", "last_block", "edge_block", "last_row", F.col("rest").alias("__rest"))
-    own = own.select("__source", F.struct("passes", "n_blocks", "last_block", "edge_block", "last_row", "__rest").alias("__plan"))
-    df = kept.join(_small(own), F.col("source").eqNullSafe(F.col("__source")))
+    kept = [c for c in docs.columns if c not in (epoch, order)]
+    own = plan.select(F.col("source").alias("__source"), F.struct("passes", "n_blocks", "last_block", "edge_block", "last_row", "rest").alias("__plan"))
+    df = docs.select(*kept).join(_small(own), F.col("source").eqNullSafe(F.col("__source")))
     df = df.withColumn("__block", _block(F.col("__plan.n_blocks")))
     at = F.struct(_block_order(F.col("__plan.passes")).alias("__order"), F.col("__block"))
-    last = (F.col("__plan.__rest") > 0) & (
-        F.coalesce(at <= F.col("__plan.last_block"), F.lit(False))
-        | F.coalesce((F.col("__block") == F.col("__plan.edge_block")) & (_row_order(F.col("__plan.passes")) <= F.col("__plan.last_row")), F.lit(False))
-    )
-    copies = F.col("__plan.passes") + last.cast("long")
-    df = df.withColumn("__copies", copies).filter("__copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-    order = F.struct("epoch", _block_order(F.col("epoch")).alias("block"), _row_order(F.col("epoch")).alias("row"))
-    return df.select(*kept.columns, "epoch", order.alias("mix_order"))
+    in_block = (F.col("__block") == F.col("__plan.edge_block")) & (_row_order(F.col("__plan.passes")) <= F.col("__plan.last_row"))
+    last = (F.col("__plan.rest") > 0) & (F.coalesce(at <= F.col("__plan.last_block"), F.lit(False)) | F.coalesce(in_block, F.lit(False)))
+    df = df.withColumn("__copies", F.col("__plan.passes") + last.cast("long")).filter("__copies > 0")
+    df = df.withColumn("__turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
+    place = F.struct(F.col("__turn").alias("epoch"), _block_order(F.col("__turn")).alias("block"), _row_order(F.col("__turn")).alias("row"))
+    return df.select(*kept, F.col("__turn").alias(epoch), place.alias(order))
 
 
 def mix(docs: DataFrame, repetition_limit: float | None = 1.5, target_entropy: float | None = None, budget: int | None = None) -> DataFrame:
