@@ -6,8 +6,8 @@ sets of equal 128-bit digest are one class). The join loses no link:
 1. Chunks of texts are sketched: of a set of n hashes, the smallest third or so. At most t = n - ceil(n * percent / 100)
    members of a set can be missing from a partner, so a class with a partner has at least L - t of its L sketched
    members in other texts too. Counts of who shares each member, by ranges of hashes, leave only such classes.
-2. Of these, each of the t + 1 smallest members names a possible partner's group (one of them must be shared); groups
-   that overlap make up candidate components.
+2. Of these, each of the t + 1 first members, the rarest ones, names a possible partner's group (one of them must be
+   shared in any order that all sets keep to); groups that overlap make up candidate components.
 3. The sets of a candidate component meet once (a large component as pairs of blocks of bounded size). Each block has a
    signature tree: nodes hold the OR of their members' bitmaps and the range of set sizes. Two trees are walked
    together; a pair of nodes is left when its largest possible overlap is below what its smallest sets need, or when
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, small_batches, staged
@@ -38,7 +38,9 @@ PERCENT = 80
 CHUNK_ROWS = 4000
 CHUNK_WORDS = 3_000_000
 BUCKETS = 128
-BLOCK_MEMBERS = 1_500_000
+BLOCK_MEMBERS = 4_000_000
+#: Members that are known to be common and so go last in the order; any order gives the same links.
+COMMON_MEMBERS = 150_000
 FANOUT = 16
 BITS = 1024
 
@@ -199,13 +201,22 @@ def _whole_sets(size: int):
     return run
 
 
-def _prefixes(percent: int):
+def _prefixes(percent: int, common: np.ndarray, levels: np.ndarray):
+    """The t + 1 first members of each set, in an order that is the same for all sets: rare ones before common ones, then by hash."""
+
     def run(batches):
         for batch in batches:
-            cls, sets = batch.column("cls").to_numpy(), [np.frombuffer(m, np.int64) for m in batch.column("members").to_pylist()]
-            lengths = [min(len(s), missing_at_most(len(s), percent) + 1) for s in sets]
-            if sets:
-                yield pa.record_batch([pa.array(np.concatenate([s[:n] for s, n in zip(sets, lengths, strict=True)])), pa.array(np.repeat(cls, lengths))], names=["member", "cls"])
+            cls, n, members = batch.column("cls").to_numpy(), batch.column("n").to_numpy(), []
+            for m in batch.column("members").to_pylist():
+                s = np.frombuffer(m, np.uint64).view(np.int64)
+                if len(common):
+                    at = np.searchsorted(common, s)
+                    at[at == len(common)] = 0
+                    s = s[np.argsort(np.where(common[at] == s, levels[at], 0), kind="stable")]
+                members.append(s[: missing_at_most(len(s), percent) + 1])
+            if members:
+                times = list(map(len, members))
+                yield pa.record_batch([pa.array(np.concatenate(members)), pa.array(np.repeat(cls, times)), pa.array(np.repeat(n, times))], names=["member", "cls", "n"])
 
     return run
 
@@ -370,9 +381,20 @@ def similarity_components(docs: DataFrame, size: int = SIZE, percent: int = PERC
     chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "d1", "d2", "cls")
     sets = staged(chosen.mapInArrow(_whole_sets(size), "cls long, n int, members binary"), "sets")
 
-    prefixes = staged(sets.mapInArrow(_prefixes(percent), "member long, cls long"), "prefixes")
-    leaders = prefixes.groupBy("member").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).filter("leader <> last").select("member", "leader")
-    candidates = prefixes.join(leaders, "member").select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    none = np.zeros(0, np.int64)
+    often = sets.mapInArrow(_prefixes(percent, none, none), "member long, cls long, n int").groupBy("member").agg(F.count("*").alias("n")).filter("n >= 8")
+    top = often.orderBy(F.desc("n"), "member").limit(COMMON_MEMBERS).toPandas().sort_values("member")
+    common, levels = top["member"].to_numpy(np.int64), np.log2(top["n"].to_numpy(float)).astype(np.int64)
+    prefixes = staged(sets.mapInArrow(_prefixes(percent, common, levels), "member long, cls long, n int"), "prefixes")
+    # Within a member's group, sets link in candidate only as far as sizes permit: those of one size class hang together,
+    # and neighbouring classes if their nearest sizes do.
+    sized = prefixes.withColumn("step", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    classed = sized.groupBy("member", "step").agg(F.min("cls").alias("leader"), F.max("cls").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"))
+    stars = sized.join(classed.filter("leader <> last"), ["member", "step"]).select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    by_step = Window.partitionBy("member").orderBy("step")
+    steps = classed.withColumn("below", F.lag("leader").over(by_step)).withColumn("below_high", F.lag("high").over(by_step))
+    steps = steps.filter(100 * F.col("below_high") >= percent * F.col("low")).select(F.col("leader").alias("a"), F.col("below").alias("b"))
+    candidates = stars.unionByName(steps)
     groups = staged(connected_components(candidates, "candidates"), "groups")
 
     placed = sets.join(groups, sets.cls == groups.node).select("cls", "n", "members", "root")
