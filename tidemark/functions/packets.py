@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.dimensions import FLAG_BITS, PROTOCOLS, SERVICE_PORTS
 
@@ -55,7 +56,7 @@ def entropy_of(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type, not its name: workers import this module without a session
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Shannon entropy in bits of the bytes; 0 for none."""
     return data.map(lambda x: entropy_of(x.encode() if isinstance(x, str) else x or b""))

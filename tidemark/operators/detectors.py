@@ -193,7 +193,7 @@ def choose_components(df: DataFrame, most: int = 25, name: str = "coords", **fit
         model = fit_mixture(df, k, name=name, **fit)
         bic, aic = information(model, n)
         silhouette, db = _shape(points, model)
-        rows.append({"k": k, "bic": bic, "aic": aic, "silhouette": silhouette, "davies_bouldin": db})
+        rows.append({"k": k, "bic": float(bic), "aic": float(aic), "silhouette": silhouette, "davies_bouldin": db})
 
     def scaled(values):
         v = np.array(values, float)
