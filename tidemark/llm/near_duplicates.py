@@ -37,7 +37,7 @@ SIZE = 5
 PERCENT = 80
 CHUNK_ROWS = 4000
 CHUNK_WORDS = 3_000_000
-BUCKETS = 128
+LEAST_BUCKETS, BUCKET_ROWS = 128, 4000
 BLOCK_MEMBERS = 4_000_000
 #: Members that are known to be common and so go last in the order; any order gives the same links.
 COMMON_MEMBERS = 150_000
@@ -64,7 +64,7 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(one).view(np.int64), two.view(np.int64)
 
 
-def _sketcher(size: int, percent: int, wide: bool):
+def _sketcher(size: int, percent: int, wide: bool, bucket_bits: int):
     kind = np.uint64 if wide else np.uint32
 
     def flush(chunk, ids, sizes, ones, twos, sketches, hashes):
@@ -74,12 +74,12 @@ def _sketcher(size: int, percent: int, wide: bool):
         own = [i for i in sorted(first.values()) if sizes[i]]
         members = np.concatenate([sketches[i] for i in own]) if own else np.zeros(0, np.uint64)
         of = np.repeat(np.array(own, np.uint16), [len(sketches[i]) for i in own]) if own else np.zeros(0, np.uint16)
-        bucket = (mix(members) >> np.uint64(57)).astype(np.int64) if len(members) else np.zeros(0, np.int64)
+        bucket = (mix(members) >> np.uint64(64 - bucket_bits)).astype(np.int64) if len(members) else np.zeros(0, np.int64)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        edges = np.searchsorted(bucket[order], np.arange((1 << bucket_bits) + 1))
         blobs = [_to_bytes(meta)]
         numbers = [-1]
-        for b in range(BUCKETS):
+        for b in range(1 << bucket_bits):
             part = order[edges[b] : edges[b + 1]]
             if len(part):
                 numbers.append(b)
@@ -369,8 +369,10 @@ def similarity_components(docs: DataFrame, size: int = SIZE, percent: int = PERC
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    wide = texts.count() > 1 << 25  # else 39 bits of a hash leave few members shared by chance
-    sketch = staged(texts.mapInArrow(_sketcher(size, percent, wide), "chunk long, bucket int, data binary"), "sketch")
+    rows = texts.count()
+    wide = rows > 1 << 25  # else 32 bits of a hash, and those of its bucket, leave few members shared by chance
+    bucket_bits = min(16, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)).bit_length() - 1 if rows > LEAST_BUCKETS * BUCKET_ROWS else LEAST_BUCKETS.bit_length() - 1)
+    sketch = staged(texts.mapInArrow(_sketcher(size, percent, wide, bucket_bits), "chunk long, bucket int, data binary"), "sketch")
     metas = sketch.filter("bucket = -1")
     thin = metas.select("chunk", "data").mapInArrow(_spread, "row long, doc_id long, n int, d1 long, d2 long, text_hash long")
     classes = thin.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("first_id"), F.min_by("doc_id", "row").alias("row_id"))
