@@ -22,33 +22,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, scratch, small_batches, text_or_empty
-from tidemark.llm.tokens import shared_encoder
+from tidemark.llm.tokens import grouped, shared_encoder
 
 BLOCK_IDS = 1 << 20
-ROUNDS = 5
+ROUNDS = 4
 RULES_A_ROUND = 1024
 LEAST = 12
+SLOT_BITS = 17
 MAGIC = b"RPB1"
 _HEAD = struct.Struct("<4sIIIIB")
 BLOCKS = "part int, block int, start_in_part long, n_ids long, doc_ids array<bigint>, payload binary"
 
 
-def _frequent(seq: np.ndarray, end: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent pairs as codes in order, and where in seq some of these start, with the number of the code."""
+def _frequent(seq: np.ndarray, end: int, most: int, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequent pairs as codes, and where in seq these start, with the number of the code.
+
+    All pairs are counted by slots of a hash that changes with the turn. Of the pairs in a frequent slot, one that is
+    frequent by a second hash too stands for it.
+    """
     left, right = seq[:-1], seq[1:]
-    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(13)
-    counts = np.bincount(slot, minlength=1 << 19)
-    floor = max(least, int(np.partition(counts, -4 * most)[-4 * most]))
-    at = np.flatnonzero((counts >= floor)[slot] & (left != end) & (right != end))
-    codes = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-    found, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
-    chosen = np.flatnonzero(n >= least)
-    chosen = np.sort(chosen[np.argsort(-n[chosen], kind="stable")[:most]])
-    number = np.full(len(found), -1, np.int64)
+    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B + 2 * turn)) >> np.uint32(32 - SLOT_BITS)
+    counts = np.bincount(slot, minlength=1 << SLOT_BITS)
+    chosen = np.argpartition(counts, -most)[-most:]
+    chosen = chosen[counts[chosen] >= least]
+    number = np.full(1 << SLOT_BITS, -1, np.int16)
     number[chosen] = np.arange(len(chosen))
-    rule = number[inverse]
-    keep = rule >= 0
-    return found[chosen], at[keep], rule[keep]
+    at = np.flatnonzero((number[slot] >= 0) & (left != end) & (right != end))
+    rule, a, b = number[slot[at]], left[at], right[at]
+    other = (a * np.uint32(0xC2B2AE35) + b * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS)
+    often = 2 * np.bincount(other, minlength=1 << SLOT_BITS)[other] >= counts[chosen][rule]
+    codes = (a.astype(np.uint64) << np.uint64(32)) | b
+    first = np.zeros(len(chosen), np.uint64)
+    first[rule[often][::-1]] = codes[often][::-1]
+    same = first[rule] == codes
+    return first, at[same], rule[same]
 
 
 def compress(ids: np.ndarray, end: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = LEAST):
@@ -57,11 +64,11 @@ def compress(ids: np.ndarray, end: int, rounds: int = ROUNDS, most: int = RULES_
     base = int(seq.max()) + 1 if len(seq) else 1
     rules: list[np.ndarray] = []
     first = base
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(seq) < 2:
             break
-        codes, at, rule = _frequent(seq, end, most, least)
-        if not len(codes):
+        codes, at, rule = _frequent(seq, end, most, least, turn)
+        if not len(at):
             break
         new_run = np.r_[True, np.diff(at) != 1]
         start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
@@ -146,32 +153,28 @@ class Block:
 
 
 def _to_blocks(tokenizer: str, end: int, block_ids: int):
-    tail = struct.pack("<I", end)
-
     def run(batches):
         encoder, part = shared_encoder(tokenizer), TaskContext.get().partitionId()
-        ids: list[bytes] = []
-        keys: list[int | None] = []
-        held, start, n_block = 0, 0, 0
-
-        def block():
-            data = np.frombuffer(b"".join(ids), "<u4")
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            columns = [pa.array([v], t) for v, t in ((part, pa.int32()), (n_block, pa.int32()), (start, pa.int64()), (len(data), pa.int64()), (keys, pa.list_(pa.int64())), (pack(data, sizes, end), pa.binary()))]
-            return pa.record_batch(columns, names=["part", "block", "start_in_part", "n_ids", "doc_ids", "payload"])
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                cut = batch.slice(lo, 200)
-                for key, one in zip(cut.column("doc_id").to_pylist(), encoder.encode(cut.column("text").to_pylist()), strict=True):
-                    keys.append(key)
-                    ids.append(one + tail)
-                    held += len(one) // 4 + 1
-                if held >= block_ids:
-                    yield block()
-                    start, n_block, held, ids, keys = start + held, n_block + 1, 0, [], []
-        if ids:
-            yield block()
+        start, number = 0, 0
+        ids, sizes, keys = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+
+        def block(n: int):
+            """The first n documents held."""
+            size = int(sizes[:n].sum())
+            columns = [pa.array([v], t) for v, t in ((part, pa.int32()), (number, pa.int32()), (start, pa.int64()), (size, pa.int64()), (keys[:n], pa.list_(pa.int64())), (pack(ids[:size], sizes[:n], end), pa.binary()))]
+            return pa.record_batch(columns, names=["part", "block", "start_in_part", "n_ids", "doc_ids", "payload"]), size
+
+        for table, texts in grouped(batches):
+            new, counts = encoder.encode_flat(texts)
+            new = np.insert(new, np.cumsum(counts), np.uint32(end))  # the end id of each document
+            ids, sizes, keys = np.concatenate([ids, new]), np.r_[sizes, counts + 1], keys + table.column("doc_id").to_pylist()
+            while len(ids) >= block_ids:
+                n = int(np.searchsorted(np.cumsum(sizes), block_ids)) + 1
+                out, size = block(n)
+                yield out
+                ids, sizes, keys, start, number = ids[size:], sizes[n:], keys[n:], start + size, number + 1
+        if keys:
+            yield block(len(keys))[0]
 
     return run
 

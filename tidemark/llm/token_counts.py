@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BATCH_ROWS, scratch, small_batches
-from tidemark.llm.tokens import Encoder, drops_white_space, vocabulary_path
+from tidemark.llm.common import scratch, small_batches
+from tidemark.llm.tokens import drops_white_space, grouped, shared_encoder, vocabulary_path
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -29,11 +29,10 @@ def tokenizer_version(name: str) -> str:
 
 def _counts(tokenizer: str):
     def run(batches):
-        encoder = Encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column("content").to_pylist()
-            n = [len(ids) // 4 for lo in range(0, len(texts), 200) for ids in encoder.encode(texts[lo : lo + 200])]
-            yield pa.record_batch([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
+        encoder = shared_encoder(tokenizer)
+        for table, texts in grouped(batches, "content"):
+            _, n = encoder.encode_flat(texts)
+            yield pa.record_batch([table.column("digest").combine_chunks(), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
