@@ -418,15 +418,14 @@ def similarity_components(docs: DataFrame, size: int = SIZE, percent: int = PERC
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """docs with the first row of each component; rows of equal doc_id and text are one."""
-    joined = staged(similarity_components(docs, size, percent).select("row", "doc_id", "component_row", "text_hash"), "components")
-    kept = joined.filter("row = component_row").select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
-    again = kept.groupBy("__kept_id", "__kept_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    twice = joined.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    kept = kept.distinct() if again else kept
+    """docs with the smallest doc_id of each component (the first row of equal ones); rows of equal doc_id and text are one."""
+    joined = staged(similarity_components(docs, size, percent).select("row", "doc_id", "component_id", "component_row", "text_hash"), "components")
+    least = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_row").agg(F.min_by(F.struct("doc_id", "text_hash"), "row").alias("kept"))
+    kept = least.select(F.col("kept.doc_id").alias("__kept_id"), F.col("kept.text_hash").alias("__kept_hash"))
+    again = joined.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & F.xxhash64("text").eqNullSafe(F.col("__kept_hash"))
     out = docs.join(kept, same, "left_semi")
-    return out.dropDuplicates(["doc_id", "text"]) if twice else out
+    return out.dropDuplicates(["doc_id", "text"]) if again else out
 
 
 def op3_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
