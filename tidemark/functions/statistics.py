@@ -42,10 +42,13 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(F.coalesce(x, F.lit(0.0)))
 
 
+def top(items: list[tuple[Column, dict[str, Column]]]) -> Column:
+    """The item of the greatest key as a struct of the key k and its fields; the first of equal keys. Grows with the items alone."""
+    rows = [F.struct(key.cast("double").alias("k"), F.lit(-i).alias("o"), *[c.alias(n) for n, c in fields.items()]) for i, (key, fields) in enumerate(items)]
+    return F.array_max(F.array(*rows))
+
+
 def first_greatest(pairs: list[tuple[str, Column]]) -> tuple[Column, Column]:
     """(name, value) of the greatest value, the first of equals."""
-    best = F.greatest(*[v for _, v in pairs]) if len(pairs) > 1 else pairs[0][1]
-    name = F.lit(None).cast("string")
-    for n, v in reversed(pairs):
-        name = F.when(v == best, n).otherwise(name)
-    return name, best
+    best = top([(v, {"name": F.lit(n)}) for n, v in pairs])
+    return best["name"], best["k"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.statistics import first_greatest
+from tidemark.functions.statistics import top
 
 
 def z_scores(base: dict[str, tuple[float, float]], names: list[str]) -> list[tuple[str, Column]]:
@@ -21,26 +21,24 @@ def _pick(name: Column, options: dict[str, Column]) -> Column:
 
 def culprit(df: DataFrame, base: dict[str, tuple[float, float]], names: list[str], likelihoods: dict[str, Column] | None = None) -> DataFrame:
     """Adds culprit_feature, culprit_z (signed), culprit_pct and the text physical_culprit."""
-    name, z = first_greatest(z_scores(base, names))
-    df = df.withColumn("culprit_feature", name).withColumn("__z", z)
-    value = _pick(F.col("culprit_feature"), {n: F.col(n).cast("double") for n in names})
-    mean = _pick(F.col("culprit_feature"), {n: F.lit(float(base[n][0])) for n in names})
-    df = df.withColumn("__value", value).withColumn("__mean", mean)
-    up = F.col("__value") > F.col("__mean")
-    df = df.withColumn("culprit_pct", F.abs(F.col("__value") - F.col("__mean")) / (F.abs(F.col("__mean")) + 1e-10) * 100)
-    df = df.withColumn("culprit_z", F.when(up, F.col("__z")).otherwise(-F.col("__z")))
-    text = F.when(up, F.format_string("%s (SPIKE (+%.1f%%), σ=%.2f)", "culprit_feature", "culprit_pct", "__z")).otherwise(F.format_string("%s (DROP (%.1f%%), σ=%.2f)", "culprit_feature", "culprit_pct", "__z"))
+    items = [(z, {"name": F.lit(n), "value": F.col(n).cast("double"), "mean": F.lit(float(base[n][0]))}) for n, z in z_scores(base, names)]
+    df = df.withColumn("__top", top(items))
+    z, value, mean = F.col("__top.k"), F.col("__top.value"), F.col("__top.mean")
+    up = value > mean
+    df = df.withColumn("culprit_feature", F.col("__top.name")).withColumn("culprit_pct", F.abs(value - mean) / (F.abs(mean) + 1e-10) * 100).withColumn("culprit_z", F.when(up, z).otherwise(-z))
+    spike, drop = "%s (SPIKE (+%.1f%%), σ=%.2f)", "%s (DROP (%.1f%%), σ=%.2f)"
+    text = F.when(up, F.format_string(spike, "culprit_feature", "culprit_pct", z)).otherwise(F.format_string(drop, "culprit_feature", "culprit_pct", z))
     if likelihoods:
-        least, negative = first_greatest([(n, -v) for n, v in likelihoods.items()])
-        df = df.withColumn("__least", least).withColumn("__ll", -negative)
-        text = F.when(F.col("__least") != F.col("culprit_feature"), F.concat(text, F.format_string(" | GMM: %s (LL=%.3f)", "__least", "__ll"))).otherwise(text)
-    return df.withColumn("physical_culprit", text).drop("__z", "__value", "__mean", "__least", "__ll")
+        df = df.withColumn("__least", top([(-v, {"name": F.lit(n)}) for n, v in likelihoods.items()]))
+        other = F.format_string(" | GMM: %s (LL=%.3f)", F.col("__least.name"), -F.col("__least.k"))
+        text = F.when(F.col("__least.name") != F.col("culprit_feature"), F.concat(text, other)).otherwise(text)
+    return df.withColumn("physical_culprit", text).drop("__top", "__least")
 
 
 def component_culprit(parts: list[tuple[str, Column]]) -> tuple[Column, Column]:
     """(component, signed deviation) of the largest coordinate."""
-    name, _ = first_greatest([(n, F.abs(v)) for n, v in parts])
-    return name, _pick(name, dict(parts))
+    best = top([(F.abs(v), {"name": F.lit(n), "signed": v}) for n, v in parts])
+    return best["name"], best["signed"]
 
 
 def severity_label(severity: Column) -> Column:

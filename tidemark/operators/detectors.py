@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.dimensions import CONSENSUS_FAMILIES, VELOCITY_FEATURES, VELOCITY_SEVERITIES
-from tidemark.functions.statistics import clip, finite, first_greatest
+from tidemark.functions.statistics import clip, finite, top
 
 #: Rows of a training matrix that neighbours and trees are built on; more rows are thinned by hash, and said so.
 MOST_TRAINING_ROWS = 100_000
@@ -327,10 +327,9 @@ def likelihood_thresholds(df: DataFrame, params: dict[str, dict], percentile: fl
 
 def sentinel_vote(params: dict[str, dict], thresholds: dict[str, float], severity: Column) -> tuple[Column, Column]:
     """(vote, feature): whether the least likely feature is below its threshold, in rows of some severity."""
-    name, best = first_greatest([(n, -univariate_likelihood(F.col(n).cast("double"), p)) for n, p in params.items()])
-    limit = F.create_map(*[F.lit(v) for n in thresholds for v in (n, float(thresholds[n]))])
-    vote = (severity > 0) & (-best < limit[name])
-    return F.coalesce(vote, F.lit(False)).cast("int"), F.when(vote, name)
+    least = top([(-univariate_likelihood(F.col(n).cast("double"), p), {"name": F.lit(n), "bound": F.lit(float(thresholds[n]))}) for n, p in params.items()])
+    vote = (severity > 0) & (-least["k"] < least["bound"])
+    return F.coalesce(vote, F.lit(False)).cast("int"), F.when(vote, least["name"])
 
 
 # ---- rates of change ----
@@ -341,10 +340,8 @@ def velocity_bypass(columns: list[str], threshold: float) -> tuple[Column, Colum
     if any(f not in columns for f in VELOCITY_FEATURES):
         return F.lit(0.0), F.lit(False), F.lit(0), F.lit("")
     z = {f: finite(F.col(f).cast("double")) for f in VELOCITY_FEATURES}
-    name, best = first_greatest([(f, F.abs(v)) for f, v in z.items()])
-    signed = z[VELOCITY_FEATURES[-1]]
-    for f in reversed(VELOCITY_FEATURES[:-1]):
-        signed = F.when(name == f, z[f]).otherwise(signed)
+    most = top([(F.abs(v), {"name": F.lit(f), "signed": v}) for f, v in z.items()])
+    name, best, signed = most["name"], most["k"], most["signed"]
     bypass = best >= threshold
     level = F.lit(1)
     for least, severity in sorted(VELOCITY_SEVERITIES):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
@@ -99,7 +100,7 @@ def train(packets: DataFrame, settings: Settings = Settings(), source: str = "")
     bounds = {"balltree_score": (row[0], row[1]), "iforest_score": (row[2], row[3])}
     metadata = {
         "training_date": datetime.now(UTC).isoformat(), "source": source, "aggregated_windows": n, "feature_count": len(names), "training_duration_sec": time.time() - began, "per_feature_ll_thresholds": thresholds,
-        "training_stats": {"dimensions": sum(len(b.loadings) for b in blocks), "balltree_training_p99_distance": neighbours.p99, "gmm_components": k}, "config": asdict(t),
+        "training_stats": {"dimensions": sum(len(b.loadings) for b in blocks), "balltree_training_p99_distance": neighbours.p99, "gmm_components": k}, "config": json.loads(json.dumps(asdict(t))),
     }
     for df in (points, scaled):
         df.unpersist()
@@ -120,16 +121,17 @@ def detect(packets: DataFrame, bundle: Bundle, settings: Settings = Settings(),
     df = df.withColumn("balltree_severity", detectors.neighbour_severity(F.col("__d"), p90, p95, p99, p999, t.neighbours.slack))
     score, bypass, severity, culprit = detectors.velocity_bypass(df.columns if t.velocity.enabled else [], t.velocity.bypass_threshold)
     df = df.withColumn("vel_score", score).withColumn("vel_bypass", bypass).withColumn("vel_severity", severity).withColumn("vel_culprit", culprit)
-    # The second tier looks at suspects alone: the others pass by the Arrow functions in a branch of their own.
+    # The second tier counts for suspects alone. It scores all windows in the one pass: there are few of these against
+    # packets, and a branch for suspects would read and aggregate the packets twice.
     m = bundle.mixture
-    is_suspect = decisions.suspect(F.col("balltree_severity"), F.col("vel_bypass"))
-    deep = df.filter(is_suspect).withColumn("__ll", detectors.log_likelihood(m)("coords")).withColumn("__if", detectors.forest_score(bundle.forest)("coords"))
+    doubtful = decisions.suspect(F.col("balltree_severity"), F.col("vel_bypass"))
+    df = df.withColumn("__ll", detectors.log_likelihood(m)("coords")).withColumn("__if", detectors.forest_score(bundle.forest)("coords"))
     gmm = decisions.squash(-F.col("__ll"), m.ll_mean, m.ll_std, t.mixture.normalization if t.mixture.normalization != "minmax" else "cdf")
     low, high = bundle.bounds.get("iforest_score", (0.0, 1.0))
-    deep = deep.withColumn("gmm_score", gmm).withColumn("gmm_anomaly", (-F.col("__ll") > F.lit(m.threshold)).cast("int"))
-    deep = deep.withColumn("iforest_score", F.least(F.greatest((F.col("__if") - low) / F.lit(max(high - low, 1e-10)), F.lit(0.0)), F.lit(1.0))).withColumn("iforest_anomaly", (F.col("__if") > F.lit(bundle.forest.threshold)).cast("int"))
-    calm = df.filter(~is_suspect).select("*", *[F.lit(0.0).alias(c) for c in ("gmm_score", "iforest_score")], *[F.lit(0).alias(c) for c in ("gmm_anomaly", "iforest_anomaly")])
-    df = deep.drop("__ll", "__if").unionByName(calm).withColumn("consensus_votes", F.col("gmm_anomaly") + F.col("iforest_anomaly"))
+    forest = F.least(F.greatest((F.col("__if") - low) / F.lit(max(high - low, 1e-10)), F.lit(0.0)), F.lit(1.0))
+    df = df.withColumn("gmm_score", F.when(doubtful, gmm).otherwise(0.0)).withColumn("gmm_anomaly", (doubtful & (-F.col("__ll") > F.lit(m.threshold))).cast("int"))
+    df = df.withColumn("iforest_score", F.when(doubtful, forest).otherwise(0.0)).withColumn("iforest_anomaly", (doubtful & (F.col("__if") > F.lit(bundle.forest.threshold))).cast("int"))
+    df = df.drop("__ll", "__if").withColumn("consensus_votes", F.col("gmm_anomaly") + F.col("iforest_anomaly"))
     weights = decisions.normal_weights({"balltree": t.tribunal.balltree, "gmm": t.tribunal.gmm, "iforest": t.tribunal.iforest})
     agreed = decisions.squash(F.col("gmm_score"), m.ll_mean, m.ll_std)
     df = df.withColumn("consensus", decisions.weighted_consensus(weights, agreed, bundle.bounds if frozen else None))
