@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that callers gather for one call: the more, the fewer distinct words a text.
-GROUP_BYTES = 12_000_000
+GROUP_BYTES = 7_000_000
 #: ASCII signs that may follow letters as a token run of their own: not those that begin contractions or special tokens.
 SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"]] = True
