@@ -153,6 +153,16 @@ def test_repeats_equal_brute_force(hard, nothing, hot, monkeypatch):
     assert repeats.cut_repeats(nothing)[0].count() == 0
 
 
+def test_repeats_of_texts_with_one_id(spark):
+    a, b = (" ".join(f"{k}{i * i}" for i in range(300)) for k in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, a + "!"), (None, b + "?"), (None, a + "?"), (2, None)], "doc_id long, text string")
+    rows, changed = repeats.cut_repeats(docs)
+    changed = {(r.d1, r.d2): (r.n_removed, r.n_spans, r.kept) for r in changed.collect()}
+    got = [(r.n_bytes, *(changed.get((r.d1, r.d2)) or (0, 0, None))[:2]) for r in rows.collect()]
+    want = [(n, k, s) for n, k, s, _ in brute_repeats([(r.text or "").encode() for r in docs.collect()], 400)]
+    assert order(got) == order(want) and len(changed) == 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**9), min_size=1, max_size=8))
 def test_family_marks_all_repeats(seeds):

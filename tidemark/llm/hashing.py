@@ -14,7 +14,7 @@ _SPACE[[32, *range(9, 14)]] = True
 def powers(n: int, which: str = "base") -> np.ndarray:
     have = _POWERS[which]
     if len(have) < n:
-        step = np.full(max(n, 1 << 20), BASE if which == "base" else BASE_INVERSE, np.uint64)
+        step = np.full(max(n, 1 << 18), BASE if which == "base" else BASE_INVERSE, np.uint64)
         step[0] = 1
         have = _POWERS[which] = np.multiply.accumulate(step)
     return have[:n]

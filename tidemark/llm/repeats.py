@@ -32,7 +32,7 @@ from tidemark.llm.hashing import mix, powers, prefix_sums, range_hashes
 
 LENGTH = 400
 GRAM = 64
-PIECE = 1 << 20
+PIECE = 1 << 18
 HOT_SEGMENTS = 2000
 BATCH_SEGMENTS = 3000
 
@@ -144,25 +144,49 @@ def _scan(length: int, gram: int):
     return run
 
 
-REGIONS = "d1 long, d2 long, h long, first long, last long, shape long, region binary"
+PLACED = "d1 long, d2 long, h long, first long, last long, shape long"
+REGION = "h long, shape long, region binary"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _slices(batches, rows: int = 50) -> Iterator[dict]:
+    """Rows as dicts, few at a time, as texts and lists may be long."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield from batch.slice(lo, rows).to_pylist()
+
+
+def _shapes(length: int):
+    """The shape of each segment that may repeat: a digest of the bytes that its starts reach and of its anchor's place."""
+
+    def run(batches):
+        for row in _slices(batches):
+            text, out = row["text"] or b"", []
+            if class_of(text) != (row["d1"], row["d2"]):
+                continue
+            for s in row["segments"]:
+                d = hashlib.blake2b(text[s["first"] : s["last"] + length], digest_size=8)
+                d.update((s["anchor"] - s["first"]).to_bytes(8, "little"))
+                out.append((row["d1"], row["d2"], s["h"], s["first"], s["last"], int.from_bytes(d.digest(), "little", signed=True)))
+            yield _batch(out, PLACED)
+
+    return run
 
 
 def _regions(length: int):
-    """The bytes that the starts of each segment reach, for segments that may repeat."""
+    """The bytes that the starts of one segment of each wanted shape reach."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                text = row["text"] or b""
-                if class_of(text) != (row["d1"], row["d2"]):
-                    continue
-                out = []
-                for s in row["segments"]:
-                    region = text[s["first"] : s["last"] + length]
-                    d = hashlib.blake2b(region + (s["anchor"] - s["first"]).to_bytes(8, "little"), digest_size=8).digest()
-                    out.append((row["d1"], row["d2"], s["h"], s["first"], s["last"], int.from_bytes(d, "little", signed=True), region))
-                types = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in REGIONS.split(", ")])
+        for row in _slices(batches):
+            text = row["text"] or b""
+            if class_of(text) != (row["d1"], row["d2"]):  # another text with the same doc_id
+                continue
+            yield _batch([(w["h"], w["shape"], text[w["first"] : w["last"] + length]) for w in row["wanted"]], REGION)
 
     return run
 
@@ -255,24 +279,21 @@ def _suffixes(length: int):
 
 def _cut(length: int):
     def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text, kept, at, spans, removed = row["text"] or b"", [], 0, 0, 0
-                merged: list[list[int]] = []
-                for s in sorted((r["low"], r["high"] + length) for r in row["runs"]):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
-                for low, high in merged:
-                    kept.append(text[at:low])
-                    at, spans, removed = high, spans + 1, removed + high - low
-                kept.append(text[at:])
-                out.append((row["d1"], row["d2"], removed, spans, b"".join(kept)))
-            if out:
-                types = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["d1", "d2", "n_removed", "n_spans", "kept"])
+        for row in _slices(batches):
+            text, kept, at, removed = row["text"] or b"", [], 0, 0
+            if class_of(text) != (row["d1"], row["d2"]):
+                continue
+            merged: list[list[int]] = []
+            for low, high in sorted((r["low"], r["high"] + length) for r in row["runs"]):
+                if merged and low <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], high)
+                else:
+                    merged.append([low, high])
+            for low, high in merged:
+                kept.append(text[at:low])
+                at, removed = high, removed + high - low
+            kept.append(text[at:])
+            yield _batch([(row["d1"], row["d2"], removed, len(merged), b"".join(kept))], "d1 long, d2 long, n_removed long, n_spans long, kept binary")
 
     return run
 
@@ -289,27 +310,33 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     lists = found.join(shared, "h").groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "anchor", "first", "last")).alias("segments"))
     wanted = lists.join(classes, ["d1", "d2"]).select("d1", "d2", "class_doc", "segments")
     own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("class_doc"))).select("d1", "d2", F.encode("text", "UTF-8").alias("text"), "segments")
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # else a class has one row here
+        right = F.xxhash64("text")
+        own = own.withColumn("__hash", right).dropDuplicates(["d1", "d2", "__hash"]).drop("__hash")
     own = staged(own, "segment-texts")
-    regions = staged(own.mapInArrow(_regions(length), REGIONS).dropDuplicates(["d1", "d2", "first"]), "regions")
-    alike = regions.groupBy("h", "shape").agg(F.count("*").alias("n"), F.first("region").alias("region"))
+
+    placed = staged(own.mapInArrow(_shapes(length), PLACED), "placed")
+    own = own.drop("segments")
+    alike = placed.groupBy("h", "shape").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "first", "last")).alias("one"))
     alike = staged(alike, "shapes")
-    whole = alike.filter("n > 1").select("h", "shape")
-    per_anchor = alike.groupBy("h").agg(F.count("*").alias("shapes")).filter("shapes > 1")  # a segment alone with its anchor can match itself only
-    lone = alike.filter("n = 1").select("h").join(per_anchor, "h", "left_anti").distinct()
-    several = alike.join(lone, "h", "left_anti").join(alike.filter("n = 1").select("h").distinct(), "h", "left_semi")
-    crowds = per_anchor.filter(F.col("shapes") > hot).select("h")
-    usual, crowded = several.join(crowds, "h", "left_anti"), several.join(crowds, "h", "left_semi")
-    runs = usual.repartition("h").mapInArrow(_matched_runs(length), "h long, shape long, low long, high long")
-    alone = alike.join(lone, "h", "left_semi").mapInArrow(_matched_runs(length), "h long, shape long, low long, high long")
-    suffixes = crowded.mapInArrow(_suffixes(length), "print long, h long, shape long, low long")
-    often = suffixes.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-    singles = suffixes.join(often, "print").select("h", "shape", "low", F.col("low").alias("high"))
-    matched = staged(runs.unionByName(alone).unionByName(singles), "matched")
-    placed = regions.select("d1", "d2", "h", "first", "last", "shape")
+    per_anchor = alike.groupBy("h").agg(F.count("*").alias("shapes"), F.count_if(F.col("n") == 1).alias("singles"))
+    # Where each shape of an anchor repeats, all its starts are matches already.
+    needed = staged(alike.join(per_anchor.filter("singles > 0"), "h").select("h", "shape", "one", (F.col("shapes") > hot).alias("crowded")), "needed")
+
+    def regions(of: DataFrame) -> DataFrame:
+        by_class = of.groupBy(F.col("one.d1").alias("d1"), F.col("one.d2").alias("d2")).agg(F.collect_list(F.struct("h", "shape", F.col("one.first").alias("first"), F.col("one.last").alias("last"))).alias("wanted"))
+        return own.join(by_class, ["d1", "d2"]).select("d1", "d2", "text", "wanted").mapInArrow(_regions(length), REGION)
+
+    matched = regions(needed.filter("not crowded")).repartition("h").mapInArrow(_matched_runs(length), "h long, shape long, low long, high long")
+    if needed.filter("crowded").limit(1).count():
+        suffixes = staged(regions(needed.filter("crowded")).mapInArrow(_suffixes(length), "print long, h long, shape long, low long"), "suffixes")
+        often = suffixes.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
+        matched = matched.unionByName(suffixes.join(often, "print").select("h", "shape", "low", F.col("low").alias("high")))
+    matched = staged(matched, "matched")
     by_run = placed.join(matched, ["h", "shape"]).select("d1", "d2", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    by_whole = placed.join(whole, ["h", "shape"]).select("d1", "d2", F.col("first").alias("low"), F.col("last").alias("high"))
+    by_whole = placed.join(alike.filter("n > 1").select("h", "shape"), ["h", "shape"]).select("d1", "d2", F.col("first").alias("low"), F.col("last").alias("high"))
     spans = by_run.unionByName(by_whole).groupBy("d1", "d2").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    changed = own.dropDuplicates(["d1", "d2"]).drop("segments").join(spans, ["d1", "d2"]).mapInArrow(_cut(length), "d1 long, d2 long, n_removed long, n_spans long, kept binary")
+    changed = own.join(spans, ["d1", "d2"]).mapInArrow(_cut(length), "d1 long, d2 long, n_removed long, n_spans long, kept binary")
     return rows.join(classes.select("d1", "d2", "copies"), ["d1", "d2"]), changed
 
 
