@@ -34,7 +34,8 @@ LENGTH = 400
 GRAM = 64
 PIECE = 1 << 18
 HOT_SEGMENTS = 2000
-BATCH_SEGMENTS = 3000
+BATCH_SEGMENTS = 1000
+INDEX_TASKS = 3
 
 
 def class_of(text: bytes) -> tuple[int, int]:
@@ -327,7 +328,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
         by_class = of.groupBy(F.col("one.d1").alias("d1"), F.col("one.d2").alias("d2")).agg(F.collect_list(F.struct("h", "shape", F.col("one.first").alias("first"), F.col("one.last").alias("last"))).alias("wanted"))
         return own.join(by_class, ["d1", "d2"]).select("d1", "d2", "text", "wanted").mapInArrow(_regions(length), REGION)
 
-    matched = regions(needed.filter("not crowded")).repartition("h").mapInArrow(_matched_runs(length), "h long, shape long, low long, high long")
+    # A task's index takes some twenty times the bytes that it reads, so these are dealt finer than others.
+    parts = INDEX_TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matched = regions(needed.filter("not crowded")).repartition(parts, "h").mapInArrow(_matched_runs(length), "h long, shape long, low long, high long")
     if needed.filter("crowded").limit(1).count():
         suffixes = staged(regions(needed.filter("crowded")).mapInArrow(_suffixes(length), "print long, h long, shape long, low long"), "suffixes")
         often = suffixes.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
