@@ -1,8 +1,8 @@
 """Token ids in grammar-compressed blocks (Re-Pair) with random access.
 
-Documents are dealt by range of doc_id, encoded, and gathered into blocks. In a block, rounds replace the most frequent
-adjacent pairs of ids by nonterminals; no pair holds an end id, so each document is a run of the
-compressed sequence. A block keeps its rules, the expansion length of each nonterminal and where each document starts,
+Documents are dealt by range of doc_id, encoded, and gathered into blocks. In a block, rounds replace frequent
+adjacent pairs of ids by nonterminals until no pair is frequent; no pair holds an end id, so each document is a run of
+the compressed sequence. A block keeps its rules, the expansion length of each nonterminal and where each document starts,
 and so gives any document, or any single id, without expanding the rest.
 
 Blocks are rows of a Parquet table in the shared folder, written by Spark's committer: a lost executor's blocks are
@@ -25,8 +25,6 @@ from tidemark.llm.common import documents, scratch, small_batches, text_or_empty
 from tidemark.llm.tokens import grouped, shared_encoder
 
 BLOCK_IDS = 1 << 20
-ROUNDS = 4
-RULES_A_ROUND = 1024
 LEAST = 12
 SLOT_BITS = 17
 MAGIC = b"RPB1"
@@ -34,62 +32,95 @@ _HEAD = struct.Struct("<4sIIIIB")
 BLOCKS = "part int, block int, start_in_part long, n_ids long, doc_ids array<bigint>, payload binary"
 
 
-def _frequent(seq: np.ndarray, end: int, most: int, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Frequent pairs as codes, and where in seq these start, with the number of the code.
+def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs as codes in ascending order, and where each stands; equal ones in order of their places."""
+    bits, low = int(max(left.max(), right.max())).bit_length(), size.bit_length()
+    codes = (left.astype(np.uint64) << np.uint64(32)) | right
+    if 2 * bits + low > 64:
+        order = np.argsort(codes, kind="stable")
+        return codes[order], at[order]
+    keys = (((left.astype(np.uint64) << np.uint64(bits)) | right) << np.uint64(low)) | at.astype(np.uint64)
+    keys.sort()
+    pairs, at = keys >> np.uint64(low), (keys & np.uint64((1 << low) - 1)).astype(np.int64)
+    return ((pairs >> np.uint64(bits)) << np.uint64(32)) | (pairs & np.uint64((1 << bits) - 1)), at
 
-    All pairs are counted by slots of a hash that changes with the turn. Of the pairs in a frequent slot, one that is
-    frequent by a second hash too stands for it.
+
+def compress(ids: np.ndarray, end: int, least: int = LEAST):
+    """(first nonterminal, rules as an array of pairs, compressed sequence); no rule holds an end id.
+
+    Rounds go on until no pair occurs least times without overlap. A round counts exactly and replaces a pair where no
+    pair that overlaps it has a higher rank. Ranks go by the counts' powers of two, then by a hash, so that rounds are
+    few even where counts fall all along a text; the first in rank is always replaced wholly. A pair's count never
+    rises, so a round looks only at pairs that were frequent and at those of new nonterminals.
     """
-    left, right = seq[:-1], seq[1:]
-    slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B + 2 * turn)) >> np.uint32(32 - SLOT_BITS)
-    counts = np.bincount(slot, minlength=1 << SLOT_BITS)
-    chosen = np.argpartition(counts, -most)[-most:]
-    chosen = chosen[counts[chosen] >= least]
-    number = np.full(1 << SLOT_BITS, -1, np.int16)
-    number[chosen] = np.arange(len(chosen))
-    at = np.flatnonzero((number[slot] >= 0) & (left != end) & (right != end))
-    rule, a, b = number[slot[at]], left[at], right[at]
-    other = (a * np.uint32(0xC2B2AE35) + b * np.uint32(0x27D4EB2F)) >> np.uint32(32 - SLOT_BITS)
-    often = 2 * np.bincount(other, minlength=1 << SLOT_BITS)[other] >= counts[chosen][rule]
-    codes = (a.astype(np.uint64) << np.uint64(32)) | b
-    first = np.zeros(len(chosen), np.uint64)
-    first[rule[often][::-1]] = codes[often][::-1]
-    same = first[rule] == codes
-    return first, at[same], rule[same]
-
-
-def compress(ids: np.ndarray, end: int, rounds: int = ROUNDS, most: int = RULES_A_ROUND, least: int = LEAST):
-    """(first nonterminal, rules as an array of pairs, compressed sequence); no rule holds an end id."""
-    seq = ids.astype(np.uint32)
-    base = int(seq.max()) + 1 if len(seq) else 1
+    n = len(ids)
+    base = int(ids.max()) + 1 if n else 1
+    seq = np.r_[ids, end].astype(np.uint32)  # the place n stands for both ends, as next of the last and previous of the first
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    alive, mark = np.ones(n + 1, bool), np.zeros(n + 1, bool)
+    none = np.iinfo(np.int32).max
+    ranks = np.full(n + 1, none, np.int32)
     rules: list[np.ndarray] = []
     first = base
-    for turn in range(rounds):
-        if len(seq) < 2:
+    live = np.flatnonzero((seq[:-1] != end) & (seq[1:] != end))
+    while len(live) >= least:
+        left, right = seq[live], seq[after[live]]
+        slot = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - SLOT_BITS)
+        some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # others are in no frequent pair
+        if len(some) < least:
             break
-        codes, at, rule = _frequent(seq, end, most, least, turn)
-        if not len(at):
+        codes, at = _by_pair(left[some], right[some], live[some], n)
+        same = codes[1:] == codes[:-1]
+        starts = np.flatnonzero(np.r_[True, ~same])
+        sizes = np.diff(np.r_[starts, len(codes)])
+        big = np.repeat(sizes >= least, sizes)
+        kept, at, same = codes[starts[sizes >= least]], at[big], np.r_[False, same][big]
+        group = np.cumsum(~same) - 1
+        free = np.ones(len(at), bool)
+        follows = np.flatnonzero(same[1:] & (after[at[:-1]] == at[1:])) + 1
+        if len(follows):  # of pairs of equal ids that overlap in a run every second one, from the left
+            place = np.arange(len(at))
+            run = place.copy()
+            run[follows] = 0
+            free = (place - np.maximum.accumulate(run)) % 2 == 0
+        counts = np.bincount(group[free], minlength=len(kept))
+        good = np.flatnonzero(counts >= least)
+        if not len(good):
             break
-        new_run = np.r_[True, np.diff(at) != 1]
-        start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-        alternate = (np.arange(len(at)) - start) % 2 == 0  # of overlapping pairs every second one, from the left
-        at, rule = at[alternate], rule[alternate]
-        used, rule = np.unique(rule, return_inverse=True)
-        seq[at] = (first + rule).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        kept = codes[used]
-        rules.append(np.stack([kept >> np.uint64(32), kept & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        level = np.frexp(counts[good].astype(float))[1]
+        rank = np.full(len(kept), none, np.int32)
+        rank[good[np.lexsort((kept[good] * np.uint64(0x9E3779B97F4A7C15), -level))]] = np.arange(len(good))
+        own = rank[group]
+        can = np.flatnonzero(free & (own < none))
+        spot, own = at[can], own[can]
+        ranks[spot] = own
+        wins = (own < ranks[before[spot]]) & (own < ranks[after[spot]])
+        ranks[spot] = none
+        spot, won = spot[wins], group[can[wins]]
+        enough = np.bincount(won, minlength=len(kept)) >= least
+        keep = enough[won]
+        spot, number = spot[keep], (np.cumsum(enough) - 1)[won[keep]]
+        used = kept[enough]
+        rules.append(np.stack([used >> np.uint64(32), used & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        gone = after[spot]
+        follow = after[gone]
+        seq[spot] = (first + number).astype(np.uint32)
+        alive[gone] = False
+        after[spot], before[follow] = follow, spot
         first += len(used)
-    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
+        mark[at], mark[spot], mark[before[spot]] = True, True, True
+        mark[gone] = mark[n] = False
+        live = np.flatnonzero(mark)
+        mark[live] = False
+        live = live[(seq[live] != end) & (seq[after[live]] != end)]
+    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq[:-1][alive[:-1]]
 
 
 def expansion_lengths(base: int, rules: np.ndarray) -> np.ndarray:
-    lengths = np.ones(len(rules), np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[i] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return lengths
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
+    return np.array(lengths, np.int64)
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, end: int) -> bytes:
