@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.dimensions import CONSENSUS_FAMILIES, VELOCITY_FEATURES, VELOCITY_SEVERITIES
 from tidemark.functions.statistics import clip, finite, top
 
-#: Rows of a training matrix that neighbours and trees are built on; more rows are thinned by hash, and said so.
+#: Rows of a training matrix that trees draw their samples from; more rows are thinned by hash.
 MOST_TRAINING_ROWS = 100_000
 
 
@@ -28,6 +28,15 @@ def matrix(df: DataFrame, name: str = "coords", most: int = MOST_TRAINING_ROWS)
     return np.array([r[0] for r in df.select(name).collect()], float)
 
 
+def all_rows(df: DataFrame, name: str = "coords") -> np.ndarray:
+    """Every row of the training matrix, on the driver: 8 bytes a value."""
+    column = df.select(F.col(name).cast("array<double>").alias(name)).toArrow().column(0).combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    if column.null_count or len(values) % max(len(column), 1) or (np.diff(column.offsets.to_numpy()) * len(column) != len(values)).any():
+        raise ValueError(f"rows of {name} that are null or differ in length")
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 # ---- neighbours ----
 
 
@@ -42,14 +51,17 @@ class Neighbours:
         return self.percentiles[99.0] if self.percentiles[99.0] > 1e-10 else 1.0
 
 
-def mean_distances(points: np.ndarray, queries: np.ndarray, k: int, block: int = 256) -> np.ndarray:
-    """Mean distance to the neighbours 2 to k + 1; the nearest is taken for the point itself."""
+def mean_distances(points: np.ndarray, queries: np.ndarray, k: int, block: int = 256, width: int = 16_384) -> np.ndarray:
+    """Mean distance to the neighbours 2 to k + 1; the nearest is taken for the point itself. The k + 1 nearest of each block of points are merged."""
     out = np.zeros(len(queries))
     for lo in range(0, len(queries), block):
         q = queries[lo : lo + block]
-        d = np.sqrt(np.maximum(((q[:, None, :] - points[None, :, :]) ** 2).sum(-1), 0)) if len(points) * q.size < 5e7 else _distances(q, points)
-        near = np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]
-        out[lo : lo + block] = np.sort(near, axis=1)[:, 1:].mean(1)
+        near = np.zeros((len(q), 0))
+        for at in range(0, len(points), width):
+            part = points[at : at + width]
+            d = np.sqrt(np.maximum(((q[:, None, :] - part[None, :, :]) ** 2).sum(-1), 0)) if len(part) * q.size < 5e7 else _distances(q, part)
+            near = np.concatenate([near, np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]], axis=1)
+        out[lo : lo + block] = np.sort(near, axis=1)[:, 1 : k + 1].mean(1)
     return out
 
 
@@ -58,9 +70,11 @@ def _distances(q: np.ndarray, points: np.ndarray) -> np.ndarray:
 
 
 def fit_neighbours(df: DataFrame, k: int = 5, percentiles: tuple[float, ...] = (90.0, 95.0, 99.0, 99.9), name: str = "coords") -> Neighbours:
-    points = matrix(df, name)
-    distances = mean_distances(points, points, k)
-    return Neighbours(points, k, {p: float(np.percentile(distances, p)) for p in percentiles})
+    """All rows are points, however many; their distances are searched on the executors."""
+    model = Neighbours(all_rows(df, name), k, {})
+    rows = df.select(name).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    row = rows.select(neighbour_distance(model)(name).alias("d")).agg(F.percentile("d", F.array(*[F.lit(p / 100) for p in percentiles]))).first()
+    return Neighbours(model.points, k, dict(zip(percentiles, row[0], strict=True)))
 
 
 def neighbour_distance(model: Neighbours) -> object:
