@@ -4,7 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import ORACLE
+from tidemark.config import Settings
 from tidemark.operators import detectors
+from tidemark.plans import tables as T
+from tidemark.plans import workflows
+from tidemark.plans.catalogue import QUERIES
 
 
 def test_neighbours_of_more_rows_than_a_sample(spark):
@@ -26,3 +31,27 @@ def test_blocks_of_points_give_the_same_neighbours():
     for width in (3, 64, 499, 1000):
         assert np.allclose(detectors.mean_distances(points, points, 5, width=width), d[:, 1:6].mean(1))
     assert not detectors.mean_distances(points[:4], points[:4], 5, width=3).any()  # fewer points than k, all equal
+
+
+def test_components_are_chosen_from_the_whole_range(spark):
+    rows = QUERIES["m_kselect"](spark, ORACLE).collect()
+    n = QUERIES["m_gmm_em"](spark, ORACLE).count()
+    assert sorted(r.k for r in rows) == list(range(2, min(25, n // 10 - 1) + 1))
+
+
+def test_training_passes_its_settings(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(detectors, "choose_components", lambda df, most, **fit: (seen.append((most, fit["max_iter"])), (2, []))[1])
+    packets = T.packets(spark, ORACLE)
+    workflows.train(packets, Settings.of({"mixture": {"most_components": 13, "max_iter": 37}, "forest": {"trees": 5}, "training": {"least_rows": 1}}))
+    assert seen == [(13, 37)]
+
+
+def test_mixtures_fitted_at_once_equal_those_alone(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (150, 2)) for c in ((0, 0), (6, 0), (0, 6), (6, 6), (12, 0), (12, 6), (0, 12), (6, 12))])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "coords array<double>")
+    k, rows = detectors.choose_components(df, most=10, reg=1e-3)
+    assert k == 8
+    alone = detectors.maximise(df, [8], reg=1e-3)[8]
+    assert detectors.information(alone, len(x))[0] == pytest.approx(next(r["bic"] for r in rows if r["k"] == 8))

@@ -118,50 +118,69 @@ class MixtureModel:
         return np.logaddexp.reduce(self.densities(x), axis=1)
 
 
-def _partials(model: MixtureModel, name: str):
+def _partials(models: dict[int, MixtureModel], name: str):
     def run(parts):
-        total = None
+        total: dict[int, np.ndarray] = {}
         for pdf in parts:
             if not len(pdf):
                 continue
             x = np.stack(pdf[name].to_numpy()).astype(float)
-            logs = model.densities(x)
-            ll = np.logaddexp.reduce(logs, axis=1)
-            r = np.exp(logs - ll[:, None])
-            stats = np.concatenate([[len(x), ll.sum()], r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x).ravel()])
-            total = stats if total is None else total + stats
-        if total is not None:
-            yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
+            for k, model in models.items():
+                logs = model.densities(x)
+                ll = np.logaddexp.reduce(logs, axis=1)
+                r = np.exp(logs - ll[:, None])
+                stats = np.concatenate([[len(x), ll.sum()], r.sum(0), (r.T @ x).ravel(), np.einsum("nk,ni,nj->kij", r, x, x, optimize=True).ravel()])
+                total[k] = total[k] + stats if k in total else stats
+        for k, stats in total.items():
+            yield pd.DataFrame({"k": k, "at": np.arange(len(stats)), "value": stats})
 
     return run
 
 
-def fit_mixture(df: DataFrame, k: int, reg: float = 0.1, max_iter: int = 200, tolerance: float = 1e-3, prior: float = 1e-2, bayesian: bool = True, percentile: float = 99.9, name: str = "coords") -> MixtureModel:
-    """Expectation on the executors, which send sums; maximisation on the driver. With bayesian, weights have a sparse prior."""
-    first = df.select(name).orderBy(F.xxhash64(name)).limit(max(k * 20, 200)).collect()
-    seed = np.array([r[0] for r in first], float)
-    d = seed.shape[1]
-    centres = [seed[0]]
-    for _ in range(1, k):  # farthest-first, so that starts are spread and the same at every run
-        gap = np.min([((seed - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(seed[int(gap.argmax())])
-    model = MixtureModel(np.full(k, 1 / k), np.array(centres), np.array([np.cov(seed.T).reshape(d, d) + reg * np.eye(d)] * k))
-    before = -math.inf
+def maximise(df: DataFrame, ks: list[int], reg: float = 0.1, max_iter: int = 200, tolerance: float = 1e-3, prior: float = 1e-2, bayesian: bool = True, name: str = "coords") -> dict[int, MixtureModel]:
+    """A mixture for each number of components: expectation on the executors, which send sums; maximisation on the driver.
+
+    With bayesian, weights have a sparse prior. One job takes a step of all mixtures that have not converged.
+    """
+    own = None if df.is_cached else df.select(name).persist()
+    df = df if own is None else own
+    first = df.select(name).orderBy(F.xxhash64(name)).limit(max(max(ks) * 20, 200)).collect()
+    sample = np.array([r[0] for r in first], float)
+    d = sample.shape[1]
+    models, before = {}, dict.fromkeys(ks, -math.inf)
+    for k in ks:
+        seed = sample[: max(k * 20, 200)]
+        centres = [seed[0]]
+        for _ in range(1, k):  # farthest-first, so that starts are spread and the same at every run
+            gap = np.min([((seed - c) ** 2).sum(1) for c in centres], axis=0)
+            centres.append(seed[int(gap.argmax())])
+        models[k] = MixtureModel(np.full(k, 1 / k), np.array(centres), np.array([np.cov(seed.T).reshape(d, d) + reg * np.eye(d)] * k))
+    live = set(ks)
     for _ in range(max_iter):
-        rows = df.select(name).mapInPandas(_partials(model, name), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        s = np.zeros(len(rows))
-        for at, value in rows:
-            s[at] = value
-        n, ll = s[0], s[1]
-        nk = s[2 : 2 + k] + 1e-12
-        sums, squares = s[2 + k : 2 + k + k * d].reshape(k, d), s[2 + k + k * d :].reshape(k, d, d)
-        means = sums / nk[:, None]
-        cov = squares / nk[:, None, None] - np.einsum("ki,kj->kij", means, means) + reg * np.eye(d)
-        weights = np.maximum(nk + (prior - 1 / k if bayesian else 0), 1e-9)
-        model = MixtureModel(weights / weights.sum(), means, cov, likelihood=ll)
-        if abs(ll / n - before) < tolerance:
+        steps = _partials({k: models[k] for k in sorted(live)}, name)
+        rows = df.select(name).mapInPandas(steps, "k int, at int, value double").groupBy("k", "at").agg(F.sum("value").alias("value")).toPandas()
+        for k, part in rows.groupby("k"):
+            s = np.zeros(len(part))
+            s[part["at"].to_numpy()] = part["value"].to_numpy()
+            n, ll = s[0], s[1]
+            nk = s[2 : 2 + k] + 1e-12
+            sums, squares = s[2 + k : 2 + k + k * d].reshape(k, d), s[2 + k + k * d :].reshape(k, d, d)
+            means = sums / nk[:, None]
+            cov = squares / nk[:, None, None] - np.einsum("ki,kj->kij", means, means) + reg * np.eye(d)
+            weights = np.maximum(nk + (prior - 1 / k if bayesian else 0), 1e-9)
+            models[k] = MixtureModel(weights / weights.sum(), means, cov, likelihood=ll)
+            if abs(ll / n - before[k]) < tolerance:
+                live.discard(k)
+            before[k] = ll / n
+        if not live:
             break
-        before = ll / n
+    if own is not None:
+        own.unpersist()
+    return models
+
+
+def fit_mixture(df: DataFrame, k: int, reg: float = 0.1, max_iter: int = 200, tolerance: float = 1e-3, prior: float = 1e-2, bayesian: bool = True, percentile: float = 99.9, name: str = "coords") -> MixtureModel:
+    model = maximise(df, [k], reg, max_iter, tolerance, prior, bayesian, name)[k]
     scored = df.select(log_likelihood(model)(name).alias("ll"))
     row = scored.agg(F.avg("ll"), F.stddev_pop("ll"), F.percentile(-F.col("ll"), F.lit(percentile / 100))).first()
     return MixtureModel(model.weights, model.means, model.covariances, row[0], row[1] or 1e-10, row[2], model.likelihood)
@@ -203,8 +222,7 @@ def choose_components(df: DataFrame, most: int = 25, name: str = "coords", **fit
     n = df.count()
     points = matrix(df, name, 2000)
     rows = []
-    for k in range(2, max(2, min(most, n // 10 - 1)) + 1):
-        model = fit_mixture(df, k, name=name, **fit)
+    for k, model in maximise(df, list(range(2, max(2, min(most, n // 10 - 1)) + 1)), name=name, **fit).items():
         bic, aic = information(model, n)
         silhouette, db = _shape(points, model)
         rows.append({"k": k, "bic": float(bic), "aic": float(aic), "silhouette": silhouette, "davies_bouldin": db})

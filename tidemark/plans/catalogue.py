@@ -555,7 +555,7 @@ def _points(spark, sf):
 @register("m_gmm_em")
 def m_gmm_em(spark, sf):
     df = _points(spark, sf)
-    model = detectors.fit_mixture(df, 3, max_iter=10)
+    model = detectors.fit_mixture(df, 3)
     return df.select(*KEYS, detectors.log_likelihood(model)("coords").alias("ll"))
 
 
@@ -568,13 +568,13 @@ def m_iforest(spark, sf):
 
 @register("m_kselect")
 def m_kselect(spark, sf):
-    _, rows = detectors.choose_components(_points(spark, sf), most=3, max_iter=5)
+    _, rows = detectors.choose_components(_points(spark, sf))
     return spark.createDataFrame([(r["k"], r["bic"], r["aic"], r["silhouette"], r["davies_bouldin"], r["cost"]) for r in rows], "k int, bic double, aic double, silhouette double, davies_bouldin double, cost double")
 
 
 @register("m_univariate")
 def m_univariate(spark, sf):
-    params = detectors.fit_univariate(_doubles(spark, sf), _COV, most=3)
+    params = detectors.fit_univariate(_doubles(spark, sf), _COV)
     return spark.createDataFrame([(n, p["weights"], p["means"], p["variances"]) for n, p in params.items()], "feature string, weights array<double>, means array<double>, variances array<double>")
 
 

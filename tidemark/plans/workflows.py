@@ -92,7 +92,7 @@ def train(packets: DataFrame, settings: Settings = Settings(), source: str = "")
     neighbours = detectors.fit_neighbours(points, t.neighbours.k, t.neighbours.percentiles)
     k = t.mixture.components
     if t.mixture.adaptive:
-        k, _ = detectors.choose_components(points, min(t.mixture.most_components, 6), reg=t.mixture.reg_covar, max_iter=20)
+        k, _ = detectors.choose_components(points, t.mixture.most_components, reg=t.mixture.reg_covar, max_iter=t.mixture.max_iter)
     mixture = detectors.fit_mixture(points, k, t.mixture.reg_covar, t.mixture.max_iter, percentile=t.mixture.threshold_percentile)
     forest = detectors.fit_forest(points, t.forest.trees, t.forest.sample, t.forest.contamination, t.training.seed)
     scored = points.select((detectors.neighbour_distance(neighbours)("coords") / F.lit(neighbours.p99)).alias("b"), detectors.forest_score(forest)("coords").alias("i"))
