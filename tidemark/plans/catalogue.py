@@ -545,7 +545,7 @@ def m_pca_blocked(spark, sf):
 @register("m_pca_global")
 def m_pca_global(spark, sf):
     df = _doubles(spark, sf)
-    return projection.project(df, projection.fit_global(df, _COV, 0.99)).select(*KEYS, "coords")
+    return projection.project(df, projection.fit_global(df, S.FEATURES, 0.99)).select(*KEYS, "coords")
 
 
 def _points(spark, sf):
