@@ -55,3 +55,12 @@ def test_mixtures_fitted_at_once_equal_those_alone(spark):
     assert k == 8
     alone = detectors.maximise(df, [8], reg=1e-3)[8]
     assert detectors.information(alone, len(x))[0] == pytest.approx(next(r["bic"] for r in rows if r["k"] == 8))
+
+
+@pytest.mark.parametrize("n", [2000, 9000])
+def test_one_outlier_leaves_the_mixture_of_a_feature(spark, n):
+    rng = np.random.default_rng(7)
+    x = np.r_[rng.normal(0, 1, n), rng.normal(10, 0.5, n), 1e7]
+    params = detectors.fit_univariate(spark.createDataFrame([(float(v),) for v in x], "v double"), ["v"])["v"]
+    found = sorted((m, v) for m, v, w in zip(params["means"], params["variances"], params["weights"], strict=True) if w > 0.2)
+    assert [m for m, _ in found] == pytest.approx([0, 10], abs=0.2) and [v for _, v in found] == pytest.approx([1, 0.25], rel=0.15)

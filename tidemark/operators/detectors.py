@@ -304,29 +304,65 @@ def forest_score(model: ForestModel):
 # ---- single features ----
 
 
+#: Distinct values of a feature beyond which these are binned.
+BINS = 4096
+
+
 def fit_univariate(df: DataFrame, names: list[str], most: int = 5, reg: float = 1e-6, iterations: int = 60) -> dict[str, dict]:
     """For each feature a mixture of 1 to most normals, by 0.5 BIC + 0.5 AIC; features that hardly vary have none."""
+    span = df.agg(*[F.stddev_pop(F.col(n).cast("double")).alias(n) for n in names]).first()
+    names = [n for n in names if (span[n] or 0.0) >= 1e-6]
+    if not names:
+        return {}
     parts = [F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names]
-    long = df.select(F.explode(F.array(*parts)).alias("p")).select("p.feature", "p.value")
-    # Equal values count once with their number, and a feature's values are binned beyond 4096: no group grows with the input.
-    span = long.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_pop("value").alias("s")).filter("s >= 1e-6")
-    bins = long.join(F.broadcast(span), "feature").withColumn("bin", F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * 4096))
-    bins = bins.groupBy("feature", "bin").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    values = df.select(F.explode(F.array(*parts)).alias("p")).select("p.feature", "p.value").filter("value is not null")
+    # Equal values count once with their number. A feature with more distinct ones than BINS is binned by its quantiles, and
+    # a bin keeps its squares about its mean: no group grows with the input.
+    values = values.groupBy("feature", "value").agg(F.count("*").alias("n")).persist()
+    many = sorted(r.feature for r in values.groupBy("feature").count().filter(F.col("count") > BINS).select("feature").collect())
+    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
+    cuts = df.agg(*[F.percentile_approx(F.col(n).cast("double"), shares, F.lit(20 * BINS)).alias(n) for n in many]).first().asDict() if many else {}
+    edges = {n: np.unique(np.array(c, float)) for n, c in cuts.items()}
+
+    def bin_of(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros(len(pdf), np.int64)
+        for name, of in edges.items():
+            own = (pdf["feature"] == name).to_numpy()
+            out[own] = np.searchsorted(of, pdf["value"].to_numpy(float)[own], side="left")
+        return out
+
+    def binned(parts):
+        for pdf in parts:
+            at = bin_of(pdf)
+            low = np.array([edges[f][min(b, len(edges[f]) - 1)] for f, b in zip(pdf["feature"], at, strict=True)], float)
+            yield pd.DataFrame({"feature": pdf["feature"], "bin": at, "n": pdf["n"], "low": low, "gap": pdf["value"].to_numpy(float) - low})
+
+    few = values.filter(~F.col("feature").isin(many)).select("feature", "value", F.col("n").cast("double").alias("n"), F.lit(0.0).alias("inner"))
+    bins = few
+    if many:
+        rows = values.filter(F.col("feature").isin(many)).mapInPandas(binned, "feature string, bin long, n long, low double, gap double")
+        sums = rows.groupBy("feature", "bin", "low").agg(F.sum("n").cast("double").alias("n"), F.sum(F.col("n") * F.col("gap")).alias("s"), F.sum(F.col("n") * F.col("gap") * F.col("gap")).alias("q"))
+        mean = F.col("s") / F.col("n")
+        bins = few.unionByName(sums.select("feature", (F.col("low") + mean).alias("value"), "n", F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)).alias("inner")))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, w = pdf["value"].to_numpy(float), pdf["n"].to_numpy(float)
+        x, w, inner = pdf["value"].to_numpy(float), pdf["n"].to_numpy(float), pdf["inner"].to_numpy(float)[:, None]
         best = None
         for k in range(1, min(most, len(x)) + 1):
             order = np.argsort(x)
             cuts = np.searchsorted(np.cumsum(w[order]), w.sum() * (np.arange(k) + 0.5) / k)
-            m, v, p = x[order][np.minimum(cuts, len(x) - 1)].copy(), np.full(k, max(np.average((x - np.average(x, weights=w)) ** 2, weights=w), reg)), np.full(k, 1 / k)
+            m = x[order][np.minimum(cuts, len(x) - 1)].copy()
+            part = np.minimum((np.cumsum(w[order]) - w[order] / 2) / w.sum() * k, k - 1).astype(int)  # starts are as wide as their share of the values, not as all
+            near = [((x[order] - m[part]) ** 2 + inner[order, 0])[part == i] for i in range(k)]
+            v = np.array([max(np.average(d, weights=w[order][part == i]) if len(d) else 0.0, reg) for i, d in enumerate(near)])
+            p = np.full(k, 1 / k)
             for _ in range(iterations):
-                logs = np.log(p) - 0.5 * np.log(2 * np.pi * v) - (x[:, None] - m) ** 2 / (2 * v)
+                logs = np.log(p) - 0.5 * np.log(2 * np.pi * v) - ((x[:, None] - m) ** 2 + inner) / (2 * v)
                 ll = np.logaddexp.reduce(logs, axis=1)
                 r = np.exp(logs - ll[:, None]) * w[:, None]
                 nk = r.sum(0) + 1e-12
                 m, p = (r * x[:, None]).sum(0) / nk, nk / nk.sum()
-                v = (r * (x[:, None] - m) ** 2).sum(0) / nk + reg
+                v = (r * ((x[:, None] - m) ** 2 + inner)).sum(0) / nk + reg
             total, free = float((ll * w).sum()), 3 * k - 1
             cost = 0.5 * (-2 * total + free * math.log(w.sum())) + 0.5 * (-2 * total + 2 * free)
             if best is None or cost < best[0]:
@@ -335,6 +371,7 @@ def fit_univariate(df: DataFrame, names: list[str], most: int = 5, reg: float =
 
     schema = "feature string, k int, weights array<double>, means array<double>, variances array<double>"
     found = bins.groupBy("feature").applyInPandas(fit, schema).collect()
+    values.unpersist()
     return {r.feature: {"weights": list(r.weights), "means": list(r.means), "variances": list(r.variances)} for r in found}
 
 
