@@ -20,6 +20,8 @@ def hard_rows():
     rows += [(20 + i, words(rng, rng.randint(1, 150))) for i in range(40)] + [(80, "a " * 600), (81, "ba " * 700), (82, "é" * 500), (83, "\x00bell\x07 <|endoftext|> 日本語。"), (84, "a\r\nb c")]
     passage = words(rng, 90)
     rows += [(90 + i, f"{words(rng, 20)}\n{passage}\n{words(rng, 30)}") for i in range(6)]
+    blanks = ["\u00a0", "\u3000", "\u0085", "\x1c", "\x1d", "\x1e\x1f", "\u2028"]
+    rows += [(100 + i, f"{words(rng, 30)}\n{b}\n{words(rng, 30)}{b}\n{b} {b}") for i, b in enumerate(blanks)]
     return rows
 
 
