@@ -135,10 +135,10 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeats_equal_brute_force(hard, nothing, hot, monkeypatch):
+@pytest.mark.parametrize("hot,batches", [(2000, 4), (1, 3), (2000, 1)])
+def test_repeats_equal_brute_force(hard, nothing, hot, batches, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 3000)
-    rows, changed = repeats.cut_repeats(hard, hot=hot)
+    rows, changed = repeats.cut_repeats(hard, hot=hot, batches=batches)
     changed = {(r.d1, r.d2): r for r in changed.collect()}
     got = []
     for r in rows.collect():
@@ -163,17 +163,31 @@ def test_repeats_of_texts_with_one_id(spark):
     assert order(got) == order(want) and len(changed) == 5
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 10**9), min_size=1, max_size=8))
-def test_family_marks_all_repeats(seeds):
-    rng = np.random.default_rng(seeds)
-    family, all_prints = repeats.IndexFamily(), []
-    for _ in seeds:
-        batch = rng.integers(0, 40, rng.integers(1, 12)).astype(np.uint64)
-        family.add(batch)
-        all_prints += batch.tolist()
-    counts = collections.Counter(all_prints)
-    assert family.matched.tolist() == [counts[p] > 1 for p in all_prints]
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.text("ab\x00", min_size=8, max_size=30), min_size=1, max_size=5), min_size=1, max_size=5))
+def test_levels_are_suffix_arrays(batches):
+    length, levels, matched, everything, number = 8, [], set(), [], 0
+    for texts in batches:
+        regions = [t.encode() for t in texts]
+        names = np.array([(number + i, 0, 1) for i in range(len(regions))], np.int64)
+        number += len(regions)
+        everything += regions
+        level, twice = repeats.Level.build(regions, names, length)
+        matched |= {bytes(level.data[s : s + length]) for s in twice}
+        for old in reversed(levels):
+            low, equal = old.scan(level)
+            matched |= {bytes(level.data[s : s + length]) for s in level.order[equal]}
+            assert all(bytes(old.data[s : s + length]) in matched for s in old.order[low[equal]])
+        while levels and len(levels[-1].order) <= 2 * len(level.order):
+            old = levels.pop()
+            level = old.merged(level, *old.scan(level))
+        level = repeats.Level.unpack(*level.pack(), length)
+        assert (wins := [bytes(level.data[s : s + length]) for s in level.order]) == sorted(set(wins))
+        levels.append(level)
+    counts = collections.Counter(r[i : i + length] for r in everything for i in range(len(r) - length + 1))
+    assert matched == {w for w, n in counts.items() if n > 1}
+    names, low, high = level.runs(level.order)
+    assert all(0 <= a <= b for a, b in zip(low, high, strict=True))
 
 
 # ---- personal data ----

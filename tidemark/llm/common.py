@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,32 +11,68 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Arrow batches stay small, as single texts may hold 100 KB and more.
-BATCH_ROWS = 1000
+#: A key is heavy when it holds more than one in so many rows; there are fewer heavy keys than this, whatever the input.
+HEAVY_SHARE = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local master gets one of
+    its own; on a cluster, where no folder is known to be shared, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "/tmp/checkpoints/tidemark"
-        spark.sparkContext.setCheckpointDir(root)
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="tidemark-")
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root.rstrip("/")
 
 
+_LOCAL_ROOTS: dict[str, str | None] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write the frame to the shared folder and read it again: lineage ends in files that outlive any executor."""
+def staged(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write the frame to the shared folder (in folders by the columns) and read it again: lineage ends in files that
+    outlive any executor."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.write.partitionBy(*by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what staged() wrote, once everything that is read from it has been written elsewhere."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined to right, which has a row for each key at most, by columns without nulls.
+
+    Rows of heavy keys don't meet in one task: they stay where they are and join a broadcast copy of the right rows of
+    these keys, of which there are fewer than HEAVY_SHARE. counts: rows of left by key (keys and n), if known.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.filter(F.col("n") > max(total // HEAVY_SHARE, 1000)).select(*keys).collect()
+    if not heavy:
+        return left.join(right, keys, how)
+    heavy = F.broadcast(left.sparkSession.createDataFrame(heavy, left.select(*keys).schema))
+    hot = left.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys, how)
+    return left.join(heavy, keys, "left_anti").join(right, keys, how).unionByName(hot)
+
+
+def in_pieces(batches, rows: int = 500):
+    """Arrow batches cut to so many rows at most, as single texts may hold 100 KB and more."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

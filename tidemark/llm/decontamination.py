@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, small_batches, table, text_or_empty
+from tidemark.llm.common import documents, in_pieces, table, text_or_empty
 
 ERROR_RATE = 0.06
 BLOCK_BYTES = 4 << 20
@@ -133,7 +133,6 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES):
 def find_items(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """doc_id, item_id, distance, end, n_places for every item that a document holds."""
     spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, item_id long, distance int, end long, n_places int"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     out = spark.createDataFrame([], schema)
@@ -141,7 +140,7 @@ def find_items(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 
         def run(batches, block=block):
             matcher = Matcher(block, error_rate)
-            for batch in batches:
+            for batch in in_pieces(batches):
                 rows = [(d, *hit) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for hit in matcher.find(t)]
                 if rows:
                     types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
@@ -154,7 +153,6 @@ def find_items(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """docs without those rows whose text holds an item."""
-    small_batches(docs.sparkSession)
     for block in item_blocks(items):
         docs = docs.filter(_cleanness(block, error_rate)("text"))
     return docs

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, small_batches, staged
+from tidemark.llm.common import documents, staged
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import mix, shingle_sets
 
@@ -367,7 +367,6 @@ def _joined(percent: int):
 def similarity_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, n_shingles, class_row, component_id, component_row (its first row) and text_hash for every row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     rows = texts.count()
     wide = rows > 1 << 25  # else 32 bits of a hash, and those of its bucket, leave few members shared by chance

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, small_batches, staged
+from tidemark.llm.common import documents, in_pieces, staged
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 5
@@ -115,7 +115,7 @@ def _scan(batches):
     base = TaskContext.get().partitionId() << 40
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     edge_type = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in in_pieces(batches):
         spans, edges, rows = [], [], []
         for text in batch.column("text").to_pylist():
             found = base_spans(text or "")
@@ -128,7 +128,6 @@ def _scan(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and graph edges of every row, written to the shared folder."""
-    small_batches(docs.sparkSession)
     return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, FOUND), "private-scan")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, small_batches, table
+from tidemark.llm.common import documents, in_pieces, table
 
 MAX_LABELLED = 1200
 MAX_LABELLED_BYTES = 32_000
@@ -195,13 +195,12 @@ def fitted(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def judge_documents(docs: DataFrame, theta: np.ndarray, trans: np.ndarray, min_share: float = MIN_SHARE) -> DataFrame:
-    small_batches(docs.sparkSession)
 
     def run(batches):
         field = Field(theta, trans, min_share)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.bool_())
         names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
-        for batch in batches:
+        for batch in in_pieces(batches):
             rows = [field.judge(t or "") for t in batch.column("text").to_pylist()]
             columns = [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))]
             if rows:
@@ -213,7 +212,6 @@ def judge_documents(docs: DataFrame, theta: np.ndarray, trans: np.ndarray, min_s
 
 def keep_good(docs: DataFrame, labels: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """docs without the rows that the rules reject."""
-    small_batches(docs.sparkSession)
     theta, trans = fitted(docs, labels)
 
     def kept(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

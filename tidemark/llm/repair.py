@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, scratch, small_batches, text_or_empty
+from tidemark.llm.common import documents, scratch, text_or_empty
 from tidemark.llm.tokens import grouped, shared_encoder
 
 BLOCK_IDS = 1 << 20
@@ -212,7 +212,6 @@ def _to_blocks(tokenizer: str, end: int, block_ids: int):
 
 def write_blocks(docs: DataFrame, tokenizer: str, path: str, end: int = 2, block_ids: int = BLOCK_IDS) -> None:
     """Encode docs and write their blocks, in ascending doc_id, to the Parquet folder path."""
-    small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_to_blocks(tokenizer, end, block_ids), BLOCKS).write.parquet(path)
 
@@ -220,7 +219,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, end: int = 2, block
 def _digests(starts: dict[int, int]):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one block at a time
                 block = Block(row["payload"])
                 data, sizes = block.all_ids().astype("<u4"), block.sizes()
                 ends = np.cumsum(sizes)
@@ -239,7 +238,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     for part, n in sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_ids")).collect())):  # a row for each written file
         starts[part] = total
         total += n
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     return blocks.select("part", "start_in_part", "doc_ids", "payload").mapInArrow(_digests(starts), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

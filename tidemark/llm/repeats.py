@@ -1,4 +1,4 @@
-"""Removal of bytes that stand in a long string found elsewhere, by a logarithmic family of suffix indexes.
+"""Removal of bytes that stand in a long string found elsewhere, by a logarithmic family of suffix arrays.
 
 A byte goes when a string of `length` bytes (400) that covers it also starts anywhere else, in another document or in
 its own; strings are judged on the input and never cross documents.
@@ -6,41 +6,50 @@ its own; strings are judged on the input and never cross documents.
 1. Each start is given an anchor: the leftmost least hash among the 64-byte strings of its 400 bytes. Equal strings have
    equal anchors at equal offsets, so starts with one anchor (a segment, some 170 of them) need comparison only with
    segments whose anchor has the same hash. Most anchors are unique, and their starts are done.
-2. Segments that repeat as a whole (same bytes, same place of the anchor) are matches for each start they hold.
-3. Other segments meet by the hash of their anchor. A task's new batch of suffixes (each cut at 400 bytes, in order of
-   the 64-bit fingerprints of these, as only equality counts) is merge-scanned against the sorted levels that it has
-   built so far, then becomes a level, and levels of like size merge. An anchor with very many segments is split: its
-   suffixes are counted by fingerprint over all tasks.
-
-Copies of a whole text are one class, of which one member takes part; a class of two or more loses all bytes where it
-has 400. Null texts count as empty; shorter texts keep everything; rows with equal doc_id are judged apart; an empty
-table gives no rows; further columns are not read.
+2. Segments that look alike (same anchor, same 64-bit digest of the bytes that their starts reach and of the anchor's
+   place) are one shape, of which two places are indexed and stand for the rest. An anchor of very many shapes is dealt
+   by window: of each fingerprint that occurs twice or more among its windows, two places are indexed.
+3. What is indexed comes in batches of documents, dealt to parts by anchor (or fingerprint). A batch gets a suffix array
+   for each part and is merge-scanned against the stored levels of that part; windows of 400 equal bytes are matches.
+   Levels are tables in the shared folder; levels of equal size merge into one of twice the size.
+
+Only windows that the suffix arrays found equal, byte by byte, are removed, with those of the same shape or fingerprint.
+Copies of a whole text (equal SHA-256) are one class, of which one member takes part; a class of two or more loses all
+bytes where it has 400. Null texts count as empty; shorter texts keep everything; rows with equal doc_id are judged
+apart; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, small_batches, staged
+from tidemark.llm.common import discard, documents, split_join, staged
 from tidemark.llm.hashing import mix, powers, prefix_sums, range_hashes
+from tidemark.llm.suffixes import Level
 
 LENGTH = 400
 GRAM = 64
 PIECE = 1 << 18
-HOT_SEGMENTS = 2000
-BATCH_SEGMENTS = 1000
-INDEX_TASKS = 3
+HOT_SHAPES = 2000
+BATCHES = 4
+#: Bytes of regions in a part, which one task holds at a time.
+PART_BYTES = 4 << 20
 
 
 def class_of(text: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(text, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return _halves(hashlib.sha256(text).digest())
+
+
+def _halves(digest: bytes) -> tuple[int, int]:
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:16], "little", signed=True)
 
 
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -109,7 +118,7 @@ def text_segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
 
 
-ROWS = "doc_id long, d1 long, d2 long, n_bytes long, sha string, h long, anchor long, first long, last long"
+ROWS = "found int, doc_id long, text_hash long, d1 long, d2 long, n_bytes long, sha string, h long, anchor long, first long, last long"
 
 
 def _bytes(column) -> list[bytes]:
@@ -123,7 +132,8 @@ def _scan(length: int, gram: int):
             for lo in range(0, batch.num_rows, 250):
                 cut = batch.slice(lo, 250)
                 texts = _bytes(cut.column("text"))
-                keys = [class_of(t) for t in texts]
+                shas = [hashlib.sha256(t) for t in texts]
+                keys = [_halves(x.digest()) for x in shas]
                 fresh = []
                 for i, k in enumerate(keys):  # a copy of a text that this task has read adds nothing but its own row
                     if k not in seen:
@@ -134,10 +144,11 @@ def _scan(length: int, gram: int):
                 of = np.array(fresh, np.int64)[of.astype(np.int64)] if len(of) else np.zeros(0, np.int64)
                 d = np.array(keys, np.int64).reshape(-1, 2)
                 n, m = len(texts), len(of)
-                none = pa.nulls(n, pa.int64())
+                none, some = pa.nulls(n, pa.int64()), pa.nulls(m, pa.int64())
                 rows = [
-                    (cut.column("doc_id"), pa.nulls(m, pa.int64())), (pa.array(d[:, 0]), pa.array(d[of, 0])), (pa.array(d[:, 1]), pa.array(d[of, 1])),
-                    (pa.array([len(t) for t in texts], pa.int64()), pa.nulls(m, pa.int64())), (pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.nulls(m, pa.string())),
+                    (pa.array(np.zeros(n, np.int32)), pa.array(np.ones(m, np.int32))), (cut.column("doc_id"), some), (cut.column("text_hash"), some),
+                    (pa.array(d[:, 0]), pa.array(d[of, 0])), (pa.array(d[:, 1]), pa.array(d[of, 1])),
+                    (pa.array([len(t) for t in texts], pa.int64()), some), (pa.array([x.hexdigest() for x in shas], pa.string()), pa.nulls(m, pa.string())),
                     (none, pa.array(h.astype(np.uint64).view(np.int64))), (none, pa.array(a, pa.int64())), (none, pa.array(s, pa.int64())), (none, pa.array(e, pa.int64())),
                 ]
                 yield pa.record_batch([pa.concat_arrays(list(r)) for r in rows], names=[f.split()[0] for f in ROWS.split(", ")])
@@ -146,13 +157,20 @@ def _scan(length: int, gram: int):
 
 
 PLACED = "d1 long, d2 long, h long, first long, last long, shape long"
-REGION = "h long, shape long, region binary"
+REGION = "part int, batch int, h long, shape long, whole int, region binary"
+WINDOWS = "print long, h long, shape long, low long, d1 long, d2 long, at long"
+LEVEL = "part int, level int, h long, shape long, whole int, low int, high int, data binary, sizes binary, names binary, starts binary"
+KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
-    return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    return _columns(list(zip(*rows, strict=True)) or [[]] * len(fields), schema)
+
+
+def _columns(columns: list, schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.record_batch([pa.array(c, KINDS[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _slices(batches, rows: int = 50) -> Iterator[dict]:
@@ -179,15 +197,14 @@ def _shapes(length: int):
     return run
 
 
-def _regions(length: int):
-    """The bytes that the starts of one segment of each wanted shape reach."""
+def _regions(length: int, parts: int, batches_: int):
+    """The bytes that the starts of the wanted segments or windows reach, dealt to parts by anchor or fingerprint."""
 
     def run(batches):
         for row in _slices(batches):
-            text = row["text"] or b""
-            if class_of(text) != (row["d1"], row["d2"]):  # another text with the same doc_id
-                continue
-            yield _batch([(w["h"], w["shape"], text[w["first"] : w["last"] + length]) for w in row["wanted"]], REGION)
+            text, batch = row["text"] or b"", row["d2"] % batches_
+            if class_of(text) == (row["d1"], row["d2"]):  # else another text with the same doc_id
+                yield _batch([(w["h"] % parts, batch, w["h"], w["shape"], w["whole"], text[w["first"] : w["last"] + length]) for w in row["wanted"]], REGION)
 
     return run
 
@@ -203,81 +220,95 @@ def window_prints(regions: list[bytes], length: int) -> tuple[np.ndarray, np.nda
 
 
 class IndexFamily:
-    """Sorted levels of suffixes; sizes grow geometrically, so each suffix is merged a logarithmic number of times."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        self.matched = np.zeros(0, bool)
-
-    def add(self, prints: np.ndarray) -> None:
-        """A batch of suffixes, numbered on from those before; matches mark both sides."""
-        start = len(self.matched)
-        self.matched = np.r_[self.matched, np.zeros(len(prints), bool)]
-        order = np.argsort(prints, kind="stable")
-        keys, numbers = prints[order], order + start
-        same = keys[1:] == keys[:-1]
-        self.matched[numbers[1:][same]] = self.matched[numbers[:-1][same]] = True
-        for old, own in self.levels:
-            at = np.searchsorted(old, keys)
-            at[at == len(old)] = 0
-            hit = old[at] == keys
-            self.matched[numbers[hit]] = True
-            self.matched[own[at[hit]]] = True
-        self.levels.append((keys, numbers))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            keys = np.concatenate([a, b])
-            order = np.argsort(keys, kind="stable")
-            self.levels.append((keys[order], np.concatenate([x, y])[order]))
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
-
-
-def _matched_runs(length: int):
+    """Levels of suffix arrays in the shared folder; sizes grow geometrically, so each suffix is merged a logarithmic
+    number of times. A batch is one job: each task takes the parts dealt to it, one at a time, from all levels."""
+
+    def __init__(self, length: int = LENGTH):
+        self.length = length
+        self.levels: list[tuple[int, DataFrame]] = []  # sizes in batches, oldest first
+        self.written: list[DataFrame] = []
+
+    def add(self, regions: DataFrame, last: bool = False) -> DataFrame:
+        """h, shape, whole, low, high: runs of windows that the batch has twice or that a level has too, on both sides.
+        The last batch is scanned but leaves no level."""
+        size, merges = 1, 0
+        while not last and merges < len(self.levels) and self.levels[-1 - merges][0] == size:
+            size, merges = 2 * size, merges + 1
+        n, fields = len(self.levels), [f.split() for f in LEVEL.split(", ")]
+        rows = regions.withColumnRenamed("region", "data").withColumn("level", F.lit(n))
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(k).alias(c) for c, k in fields])
+        for i, (_, df) in enumerate(self.levels):
+            rows = rows.unionByName(df.withColumn("level", F.lit(i)))
+        run = _advance(self.length, n, merges, last)
+        out = staged(rows.repartition("part").sortWithinPartitions("part", "level").mapInArrow(run, LEVEL), "level")
+        if not last:
+            self.levels = [*self.levels[: n - merges], (size, out.filter("part is not null"))]
+        self.written.append(out)
+        return out.filter("part is null").select("h", "shape", "whole", "low", "high")
+
+
+def _advance(length: int, n: int, merges: int, last: bool):
+    """For each part, its new regions (level n) against its stored levels 0 to n - 1, the newest of which merge."""
+
+    def found(level: Level, starts: np.ndarray):
+        names, low, high = level.runs(starts)
+        none = [None] * len(low)
+        if len(low):
+            yield _columns([none, none, names[:, 0], names[:, 1], names[:, 2], low, high, none, none, none, none], LEVEL)
+
     def run(batches):
-        family, keys, counts, held = IndexFamily(), [], [], []
-        for batch in batches:
-            for row in batch.select(["h", "shape", "region"]).to_pylist():
-                keys.append((row["h"], row["shape"]))
-                held.append(row["region"])
-                if len(held) >= BATCH_SEGMENTS:
-                    prints, n = window_prints(held, length)
-                    family.add(prints)
-                    counts.append(n)
-                    held = []
-        if held:
-            prints, n = window_prints(held, length)
-            family.add(prints)
-            counts.append(n)
-        if not keys:
-            return
-        ends = np.cumsum(np.concatenate(counts)).tolist()
-        start, out = 0, []
-        for (h, shape), end in zip(keys, ends, strict=True):
-            out += [(h, shape, a, b) for a, b in _runs(family.matched[start:end])]
-            start = end
-        for lo in range(0, len(out), 50_000):
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out[lo : lo + 50_000], strict=True)], names=["h", "shape", "low", "high"])
+        for part, rows in groupby(_slices(batches), key=lambda r: r["part"]):
+            stored: dict[int, Level] = {}
+            regions, names = [], []
+            for r in rows:
+                if r["level"] < n:
+                    stored[r["level"]] = Level.unpack(r["data"], r["sizes"], r["names"], r["starts"], length)
+                else:
+                    regions.append(r["data"])
+                    names.append((r["h"], r["shape"], r["whole"]))
+            level = None
+            if regions:
+                level, twice = Level.build(regions, np.array(names, np.int64), length)
+                yield from found(level, twice)
+            for i in range(n - 1, -1, -1):
+                if (old := stored.get(i)) is None:
+                    continue
+                if level is None:
+                    level = old if i >= n - merges else None
+                    continue
+                low, equal = old.scan(level)
+                yield from found(level, level.order[equal])
+                yield from found(old, old.order[low[equal]])
+                if i >= n - merges:
+                    level = old.merged(level, low, equal)
+            if level is not None and not last:
+                yield _columns([[part], *[[None]] * 6, *([x] for x in level.pack())], LEVEL)
 
     return run
 
 
-def _suffixes(length: int):
+def _windows(length: int):
+    """The fingerprint and place of each window of the wanted segments."""
+
     def run(batches):
-        for batch in batches:
-            rows = batch.select(["h", "shape", "region"]).to_pylist()
-            for lo in range(0, len(rows), 200):
-                part = rows[lo : lo + 200]
-                prints, n = window_prints([r["region"] for r in part], length)
-                at = np.arange(len(prints)) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.record_batch([pa.array(prints.view(np.int64)), pa.array(np.repeat([r["h"] for r in part], n), pa.int64()), pa.array(np.repeat([r["shape"] for r in part], n), pa.int64()), pa.array(at)], names=["print", "h", "shape", "low"])
+        for row in _slices(batches):
+            text, wanted = row["text"] or b"", row["wanted"]
+            if class_of(text) != (row["d1"], row["d2"]):
+                continue
+            for lo in range(0, len(wanted), 200):
+                part = wanted[lo : lo + 200]
+                prints, n = window_prints([text[w["first"] : w["last"] + length] for w in part], length)
+                low = np.arange(len(prints)) - np.repeat(np.cumsum(n) - n, n)
+                h, shape, first = (np.repeat(np.array([w[k] for w in part], np.int64), n) for k in ("h", "shape", "first"))
+                yield _columns([prints.view(np.int64), h, shape, low, np.full(len(low), row["d1"]), np.full(len(low), row["d2"]), first + low], WINDOWS)
 
     return run
 
 
+def _runs_of(df: DataFrame) -> DataFrame:
+    return df.groupBy("h", "shape").agg(F.collect_set(F.struct("low", "high")).alias("matched"))
+
+
 def _cut(length: int):
     def run(batches):
         for row in _slices(batches):
@@ -299,46 +330,66 @@ def _cut(length: int):
     return run
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_SEGMENTS) -> tuple[DataFrame, DataFrame]:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_SHAPES, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """(rows, changed): doc_id, d1, d2, n_bytes, sha and copies of every row; n_removed, n_spans and kept bytes of classes that change in part."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan = staged(texts.mapInArrow(_scan(length, gram), ROWS), "segments")
-    found, rows = scan.filter("h is not null").select("d1", "d2", "h", "anchor", "first", "last"), scan.filter("h is null").select("doc_id", "d1", "d2", "n_bytes", "sha")
-    classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min_by("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("class_doc"))
-    ends = found.groupBy("h").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("anchor").alias("c"), F.max("anchor").alias("d"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    scan = staged(texts.mapInArrow(_scan(length, gram), ROWS), "segments", "found")
+    found, rows = scan.filter("found = 1").select("d1", "d2", "h", "anchor", "first", "last"), scan.filter("found = 0").select("doc_id", "text_hash", "d1", "d2", "n_bytes", "sha")
+    classes = rows.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("member"))
+    ends = staged(found.groupBy("h").agg(F.count("*").alias("n"), F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("anchor").alias("c"), F.max("anchor").alias("d")), "anchors")
     shared = ends.filter("a <> b or c <> d").select("h")
-    lists = found.join(shared, "h").groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "anchor", "first", "last")).alias("segments"))
-    wanted = lists.join(classes, ["d1", "d2"]).select("d1", "d2", "class_doc", "segments")
-    own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("class_doc"))).select("d1", "d2", F.encode("text", "UTF-8").alias("text"), "segments")
-    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # else a class has one row here
-        right = F.xxhash64("text")
-        own = own.withColumn("__hash", right).dropDuplicates(["d1", "d2", "__hash"]).drop("__hash")
+    lists = split_join(found, shared, ["h"], counts=ends).groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "anchor", "first", "last")).alias("segments"))
+    wanted = lists.join(classes, ["d1", "d2"]).select("d1", "d2", F.col("member.doc_id").alias("class_doc"), F.col("member.text_hash").alias("class_hash"), "segments")
+    own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("class_doc")) & F.col("text_hash").eqNullSafe(F.col("class_hash")))
+    own = own.select("d1", "d2", F.encode("text", "UTF-8").alias("text"), "segments")
+    if rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # else a class has one row here
+        own = own.dropDuplicates(["d1", "d2"])
     own = staged(own, "segment-texts")
 
     placed = staged(own.mapInArrow(_shapes(length), PLACED), "placed")
+    place = F.struct("d1", "d2", "first", "last")
+    alike = staged(placed.groupBy("h", "shape").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")), "shapes")
     own = own.drop("segments")
-    alike = placed.groupBy("h", "shape").agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2", "first", "last")).alias("one"))
-    alike = staged(alike, "shapes")
-    per_anchor = alike.groupBy("h").agg(F.count("*").alias("shapes"), F.count_if(F.col("n") == 1).alias("singles"))
-    # Where each shape of an anchor repeats, all its starts are matches already.
-    needed = staged(alike.join(per_anchor.filter("singles > 0"), "h").select("h", "shape", "one", (F.col("shapes") > hot).alias("crowded")), "needed")
-
-    def regions(of: DataFrame) -> DataFrame:
-        by_class = of.groupBy(F.col("one.d1").alias("d1"), F.col("one.d2").alias("d2")).agg(F.collect_list(F.struct("h", "shape", F.col("one.first").alias("first"), F.col("one.last").alias("last"))).alias("wanted"))
-        return own.join(by_class, ["d1", "d2"]).select("d1", "d2", "text", "wanted").mapInArrow(_regions(length), REGION)
-
-    # A task's index takes some twenty times the bytes that it reads, so these are dealt finer than others.
-    parts = INDEX_TASKS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    matched = regions(needed.filter("not crowded")).repartition(parts, "h").mapInArrow(_matched_runs(length), "h long, shape long, low long, high long")
-    if needed.filter("crowded").limit(1).count():
-        suffixes = staged(regions(needed.filter("crowded")).mapInArrow(_suffixes(length), "print long, h long, shape long, low long"), "suffixes")
-        often = suffixes.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print")
-        matched = matched.unionByName(suffixes.join(often, "print").select("h", "shape", "low", F.col("low").alias("high")))
-    matched = staged(matched, "matched")
-    by_run = placed.join(matched, ["h", "shape"]).select("d1", "d2", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    by_whole = placed.join(alike.filter("n > 1").select("h", "shape"), ["h", "shape"]).select("d1", "d2", F.col("first").alias("low"), F.col("last").alias("high"))
-    spans = by_run.unionByName(by_whole).groupBy("d1", "d2").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    anchors = staged(alike.groupBy("h").agg(F.count("*").alias("n")), "anchor-shapes")
+    crowded = anchors.filter(F.col("n") > hot).select("h")
+    some_crowded = crowded.limit(1).count() > 0
+    pair = alike.select("h", "shape", F.explode(F.array_distinct(F.array("one", "two"))).alias("place")).select("h", "shape", "place.*")
+    if some_crowded:
+        flagged = split_join(pair, anchors.select("h", (F.col("n") > hot).alias("crowded")), ["h"])
+        pair, many = flagged.filter("not crowded").drop("crowded"), flagged.filter("crowded").drop("crowded")
+    indexed = pair.withColumn("whole", F.lit(1))
+
+    def with_text(places: DataFrame) -> DataFrame:
+        """The texts of the places' classes, each with a list of its places."""
+        of = places.columns
+        lists = places.groupBy("d1", "d2").agg(F.collect_list(F.struct(*[c for c in of if c not in ("d1", "d2")])).alias("wanted"))
+        return own.join(lists, ["d1", "d2"]).select("d1", "d2", "text", "wanted")
+
+    extra: list[DataFrame] = []
+    if some_crowded:
+        windows = staged(with_text(many).mapInArrow(_windows(length), WINDOWS), "windows")
+        at = F.struct("d1", "d2", "at")
+        often = windows.groupBy("print").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two")).filter("n > 1")
+        both = often.select("print", F.explode(F.array("one", "two")).alias("place"))
+        both = both.select(F.col("print").alias("h"), F.lit(0).cast("long").alias("shape"), "place.d1", "place.d2", F.col("place.at").alias("first"), F.col("place.at").alias("last"), F.lit(0).alias("whole"))
+        indexed = staged(indexed.unionByName(both), "indexed")
+        extra = [windows, indexed]
+    size = indexed.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    regions = staged(with_text(indexed).mapInArrow(_regions(length, parts, batches), REGION), "regions", "batch")
+    family = IndexFamily(length)
+    matched = [family.add(regions.filter(F.col("batch") == b).drop("batch"), last=b == batches - 1) for b in range(batches)]
+    matched = staged(functools.reduce(DataFrame.unionByName, matched), "matched")
+    discard(regions, *family.written)
+    hits = matched.filter("whole = 1").select("h", "shape", "low", "high")
+    if some_crowded:
+        prints = matched.filter("whole = 0").select(F.col("h").alias("print")).distinct()
+        low = F.col("low").cast("int")
+        hits = hits.unionByName(split_join(windows, prints, ["print"]).select("h", "shape", low.alias("low"), low.alias("high")))
+    counts = alike.select("h", "shape", "n")
+    by_place = split_join(placed, staged(_runs_of(hits), "runs"), ["h", "shape"], counts=counts)
+    discard(ends, anchors, alike, matched, *extra)
+    spans = by_place.groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.transform("matched", lambda m: F.struct((F.col("first") + m.low).alias("low"), (F.col("first") + m.high).alias("high"))))).alias("runs"))
     changed = own.join(spans, ["d1", "d2"]).mapInArrow(_cut(length), "d1 long, d2 long, n_removed long, n_spans long, kept binary")
     return rows.join(classes.select("d1", "d2", "copies"), ["d1", "d2"]), changed
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, small_batches
+from tidemark.llm.common import scratch
 from tidemark.llm.tokens import drops_white_space, grouped, shared_encoder, vocabulary_path
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -48,7 +48,6 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs; new counts are appended to the Parquet folder cache."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = vocabulary_path(tokenizer)
     content = F.coalesce("text", F.lit(""))
     folded = path.endswith(".json") and drops_white_space(path)
