@@ -60,12 +60,12 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.filter(F.col("n") > max(total // HEAVY_SHARE, 1000)).select(*keys).collect()
+    hashed = F.xxhash64(*keys)
+    heavy = [r[0] for r in counts.filter(F.col("n") > max(total // HEAVY_SHARE, 1000)).select(hashed).collect()]
     if not heavy:
         return left.join(right, keys, how)
-    heavy = F.broadcast(left.sparkSession.createDataFrame(heavy, left.select(*keys).schema))
-    hot = left.join(heavy, keys, "left_semi").join(F.broadcast(right.join(heavy, keys, "left_semi")), keys, how)
-    return left.join(heavy, keys, "left_anti").join(right, keys, how).unionByName(hot)
+    hot, rest = hashed.isin(heavy), ~hashed.isin(heavy)
+    return left.filter(rest).join(right.filter(rest), keys, how).unionByName(left.filter(hot).join(F.broadcast(right.filter(hot)), keys, how))
 
 
 def in_pieces(batches, rows: int = 500):

@@ -40,6 +40,8 @@ GRAM = 64
 PIECE = 1 << 18
 HOT_SHAPES = 2000
 BATCHES = 4
+#: Crowded anchors (9 bytes each) that are broadcast; more are joined by shuffle.
+SMALL_ANCHORS = 200_000
 #: Bytes of regions in a part, which one task holds at a time.
 PART_BYTES = 4 << 20
 
@@ -331,7 +333,7 @@ def _cut(length: int):
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_SHAPES, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(rows, changed): doc_id, d1, d2, n_bytes, sha and copies of every row; n_removed, n_spans and kept bytes of classes that change in part."""
+    """(rows, changed): doc_id, d1, d2, n_bytes, sha and copies of every row; n_removed, n_spans and kept bytes of classes of one row that change."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     scan = staged(texts.mapInArrow(_scan(length, gram), ROWS), "segments", "found")
     found, rows = scan.filter("found = 1").select("d1", "d2", "h", "anchor", "first", "last"), scan.filter("found = 0").select("doc_id", "text_hash", "d1", "d2", "n_bytes", "sha")
@@ -339,9 +341,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     ends = staged(found.groupBy("h").agg(F.count("*").alias("n"), F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("anchor").alias("c"), F.max("anchor").alias("d")), "anchors")
     shared = ends.filter("a <> b or c <> d").select("h")
     lists = split_join(found, shared, ["h"], counts=ends).groupBy("d1", "d2").agg(F.collect_set(F.struct("h", "anchor", "first", "last")).alias("segments"))
-    wanted = lists.join(classes, ["d1", "d2"]).select("d1", "d2", F.col("member.doc_id").alias("class_doc"), F.col("member.text_hash").alias("class_hash"), "segments")
+    wanted = lists.join(classes, ["d1", "d2"]).select("d1", "d2", "copies", F.col("member.doc_id").alias("class_doc"), F.col("member.text_hash").alias("class_hash"), "segments")
     own = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("class_doc")) & F.col("text_hash").eqNullSafe(F.col("class_hash")))
-    own = own.select("d1", "d2", F.encode("text", "UTF-8").alias("text"), "segments")
+    own = own.select("d1", "d2", "copies", F.encode("text", "UTF-8").alias("text"), "segments")
     if rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # else a class has one row here
         own = own.dropDuplicates(["d1", "d2"])
     own = staged(own, "segment-texts")
@@ -351,13 +353,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     alike = staged(placed.groupBy("h", "shape").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("two")), "shapes")
     own = own.drop("segments")
     anchors = staged(alike.groupBy("h").agg(F.count("*").alias("n")), "anchor-shapes")
-    crowded = anchors.filter(F.col("n") > hot).select("h")
-    some_crowded = crowded.limit(1).count() > 0
-    pair = alike.select("h", "shape", F.explode(F.array_distinct(F.array("one", "two"))).alias("place")).select("h", "shape", "place.*")
-    if some_crowded:
-        flagged = split_join(pair, anchors.select("h", (F.col("n") > hot).alias("crowded")), ["h"])
-        pair, many = flagged.filter("not crowded").drop("crowded"), flagged.filter("crowded").drop("crowded")
-    indexed = pair.withColumn("whole", F.lit(1))
+    crowded = anchors.filter(F.col("n") > hot).select("h", F.lit(True).alias("crowded"))
+    n_crowded = crowded.count()
+    flagged = alike.join(F.broadcast(crowded) if n_crowded <= SMALL_ANCHORS else crowded, "h", "left") if n_crowded else alike.withColumn("crowded", F.lit(None).cast("boolean"))
+    pair = staged(flagged.select("h", "shape", "crowded", F.explode(F.array_distinct(F.array("one", "two"))).alias("place")).select("h", "shape", "crowded", "place.*"), "places")
+    many = pair.filter("crowded").drop("crowded")
+    indexed = pair.filter("crowded is null").drop("crowded").withColumn("whole", F.lit(1))
 
     def with_text(places: DataFrame) -> DataFrame:
         """The texts of the places' classes, each with a list of its places."""
@@ -365,15 +366,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
         lists = places.groupBy("d1", "d2").agg(F.collect_list(F.struct(*[c for c in of if c not in ("d1", "d2")])).alias("wanted"))
         return own.join(lists, ["d1", "d2"]).select("d1", "d2", "text", "wanted")
 
-    extra: list[DataFrame] = []
-    if some_crowded:
+    extra = [pair]
+    if n_crowded:
         windows = staged(with_text(many).mapInArrow(_windows(length), WINDOWS), "windows")
         at = F.struct("d1", "d2", "at")
         often = windows.groupBy("print").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.max(at).alias("two")).filter("n > 1")
         both = often.select("print", F.explode(F.array("one", "two")).alias("place"))
         both = both.select(F.col("print").alias("h"), F.lit(0).cast("long").alias("shape"), "place.d1", "place.d2", F.col("place.at").alias("first"), F.col("place.at").alias("last"), F.lit(0).alias("whole"))
         indexed = staged(indexed.unionByName(both), "indexed")
-        extra = [windows, indexed]
+        extra += [windows, indexed]
     size = indexed.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     regions = staged(with_text(indexed).mapInArrow(_regions(length, parts, batches), REGION), "regions", "batch")
@@ -382,7 +383,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     matched = staged(functools.reduce(DataFrame.unionByName, matched), "matched")
     discard(regions, *family.written)
     hits = matched.filter("whole = 1").select("h", "shape", "low", "high")
-    if some_crowded:
+    if n_crowded:
         prints = matched.filter("whole = 0").select(F.col("h").alias("print")).distinct()
         low = F.col("low").cast("int")
         hits = hits.unionByName(split_join(windows, prints, ["print"]).select("h", "shape", low.alias("low"), low.alias("high")))
@@ -390,14 +391,16 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     by_place = split_join(placed, staged(_runs_of(hits), "runs"), ["h", "shape"], counts=counts)
     discard(ends, anchors, alike, matched, *extra)
     spans = by_place.groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.transform("matched", lambda m: F.struct((F.col("first") + m.low).alias("low"), (F.col("first") + m.high).alias("high"))))).alias("runs"))
-    changed = own.join(spans, ["d1", "d2"]).mapInArrow(_cut(length), "d1 long, d2 long, n_removed long, n_spans long, kept binary")
-    return rows.join(classes.select("d1", "d2", "copies"), ["d1", "d2"]), changed
+    changed = own.filter("copies = 1").join(spans, ["d1", "d2"]).mapInArrow(_cut(length), "d1 long, d2 long, n_removed long, n_spans long, kept binary")
+    copies = staged(classes.select("d1", "d2", "copies", F.col("copies").alias("n")), "copies")
+    return split_join(rows, copies.drop("n"), ["d1", "d2"], counts=copies), changed
 
 
 def op4_index_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, changed = cut_repeats(documents(spark, sf_dir))
     changed = changed.select("d1", "d2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha"))
-    df = rows.join(changed, ["d1", "d2"], "left")
+    # Copies need no join: they lose all, or are too short to lose anything.
+    df = rows.filter("copies = 1").join(changed, ["d1", "d2"], "left").unionByName(rows.filter("copies > 1"), allowMissingColumns=True)
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return df.select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
