@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that callers gather for one call: the more, the fewer distinct words a text.
 GROUP_BYTES = 7_000_000
+#: Runs of signs that a worker remembers the ids of.
+MOST_MARKS = 100_000
 #: ASCII signs that may follow letters as a token run of their own: not those that begin contractions or special tokens.
 SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"]] = True
@@ -172,6 +174,8 @@ class Encoder:
 
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces in turn, how many each has)."""
+        if len(self._marks) > MOST_MARKS:
+            self._marks.clear()
         offsets = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1, 4 * pieces.offset).astype(np.int64) if len(pieces) else np.zeros(1, np.int64)
         data = np.frombuffer(pieces.buffers()[2], np.uint8).copy() if len(pieces) and offsets[-1] else np.zeros(0, np.uint8)
         starts, ends = offsets[:-1], offsets[1:]
