@@ -1,8 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are lower-cased and stripped to words joined by single spaces. An item of m characters may occur
-with up to k = floor(error_rate * m) edits. It is split into k + 1 pieces, one of which must then occur as it is. An
-automaton finds all piece hits in a text in one pass; around each the item is verified by Myers' bit-parallel distance.
+Texts and test items are lower-cased and stripped to words joined by single spaces, with one more space on either side
+that counts as a letter: so an item without edits stands between word boundaries ("cat" isn't found in "concatenate").
+An item of m characters may occur with up to k = floor(error_rate * m) edits. It is split into k + 1 pieces, one of which
+must then occur as it is. An automaton finds all piece hits in a text in one pass; around each the item is verified by
+Myers' bit-parallel distance.
 
 The items are a stated query set: they are read in blocks of bounded size, each of which passes over all texts. Items
 without a word match nothing; null and empty texts hold nothing; each occurrence counts, a row (doc_id, item_id) is
@@ -28,11 +30,14 @@ _GAP = re.compile(r"[\W_]+")
 
 
 def normal(text: str) -> str:
-    return _GAP.sub(" ", text.lower()).strip()
+    """Lower-case words between spaces; empty if there are none."""
+    words = _GAP.sub(" ", text.lower()).strip()
+    return f" {words} " if words else ""
 
 
 def budget(item: str, error_rate: float = ERROR_RATE) -> int:
-    return int(math.floor(error_rate * len(item) + 1e-9))
+    """The edits that a normal item may have; the spaces around it don't count."""
+    return int(math.floor(error_rate * (len(item) - 2) + 1e-9))
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
