@@ -64,7 +64,16 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(one).view(np.int64), two.view(np.int64)
 
 
-def _sketcher(size: int, percent: int, wide: bool, bucket_bits: int):
+def _ranges(rows: int) -> tuple[int, int]:
+    """(bits of the range of hashes, rows of a chunk): as many ranges as the rows need up to 2 ** 16. Beyond, ranges and
+    chunks grow alike, so that neither a range's members nor the number of small pieces explode (at 3e10 rows a range
+    has some 6 million members, and a chunk 32,000 rows)."""
+    bits = max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)).bit_length() - 1
+    extra = max(0, bits - 16)
+    return bits - extra + extra // 2, min(CHUNK_ROWS << (extra // 2), 60_000)
+
+
+def _sketcher(size: int, percent: int, wide: bool, bucket_bits: int, chunk_rows: int):
     kind = np.uint64 if wide else np.uint32
 
     def flush(chunk, ids, sizes, ones, twos, sketches, hashes):
@@ -102,7 +111,7 @@ def _sketcher(size: int, percent: int, wide: bool, bucket_bits: int):
                 held[2] += one.tolist()
                 held[3] += two.tolist()
                 held[5] += cut.column("text_hash").to_pylist()
-                if len(held[0]) >= CHUNK_ROWS or words >= CHUNK_WORDS:
+                if len(held[0]) >= chunk_rows or words >= CHUNK_WORDS * chunk_rows // CHUNK_ROWS:
                     yield flush((part << 24) + n, *held)
                     held, words, n = [[] for _ in range(6)], 0, n + 1
         if held[0]:
@@ -364,23 +373,54 @@ def _joined(percent: int):
     return run
 
 
+def _block_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """cls, n, members, block and a pair of blocks i, j for every pair that a set's block is in.
+
+    A component is one block while its sets are few. Else its blocks are by set size first: sets of a step link only
+    with those of the same and the next one (a step is the largest ratio of sizes that can link), so other pairs of
+    blocks are never made.
+    """
+    whole = placed.groupBy("root").agg(F.sum("n").alias("total"))
+    large = staged(whole.filter(F.col("total") > BLOCK_MEMBERS).select("root"), "large")
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    single = placed.join(large, "root", "left_anti").select("cls", "n", "members", F.lit("0").alias("block"), F.lit("0").alias("i"), F.lit("0").alias("j"), "root")
+    if not large.limit(1).count():
+        return single.withColumn("pair", F.col("root").cast("string")).drop("root")
+    many = placed.join(large, "root").withColumn("step", step)
+    counts = many.groupBy("root", "step").agg(F.ceil(F.sum("n") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    by_step = Window.partitionBy("root").orderBy("step")
+    near = lambda f, d: F.when(f("step").over(by_step) == F.col("step") + d, f("blocks").over(by_step)).otherwise(0)
+    counts = counts.select("root", "step", "blocks", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
+    name = lambda step, k: F.concat_ws(".", step, k)
+    own = many.join(counts, ["root", "step"]).withColumn("k", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("block", name(F.col("step"), F.col("k")))
+    numbers = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.transform(numbers("blocks"), lambda o: F.struct(name(F.col("step"), F.least("k", o)).alias("i"), name(F.col("step"), F.greatest("k", o)).alias("j")))
+    below = F.transform(numbers("below"), lambda o: F.struct(name(F.col("step") - 1, o).alias("i"), F.col("block").alias("j")))
+    above = F.transform(numbers("above"), lambda o: F.struct(F.col("block").alias("i"), name(F.col("step") + 1, o).alias("j")))
+    pairs = own.withColumn("p", F.explode(F.concat(same, below, above))).select("cls", "n", "members", "block", "p.i", "p.j", "root")
+    return pairs.unionByName(single).withColumn("pair", F.concat_ws(":", "root", "i", "j")).drop("root")
+
+
 def similarity_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, n_shingles, class_row, component_id, component_row (its first row) and text_hash for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     rows = texts.count()
     wide = rows > 1 << 25  # else 32 bits of a hash, and those of its bucket, leave few members shared by chance
-    bucket_bits = min(16, max(LEAST_BUCKETS, -(-rows // BUCKET_ROWS)).bit_length() - 1 if rows > LEAST_BUCKETS * BUCKET_ROWS else LEAST_BUCKETS.bit_length() - 1)
-    sketch = staged(texts.mapInArrow(_sketcher(size, percent, wide, bucket_bits), "chunk long, bucket int, data binary"), "sketch")
+    bucket_bits, chunk_rows = _ranges(rows)
+    sketch = staged(texts.mapInArrow(_sketcher(size, percent, wide, bucket_bits, chunk_rows), "chunk long, bucket int, data binary"), "sketch")
     metas = sketch.filter("bucket = -1")
     thin = metas.select("chunk", "data").mapInArrow(_spread, "row long, doc_id long, n int, d1 long, d2 long, text_hash long")
-    classes = thin.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("first_id"), F.min_by("doc_id", "row").alias("row_id"))
+    classes = thin.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("cls"), F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "text_hash"), "row").alias("member"))
     counts = sketch.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(wide), "chunk long, bucket int, data binary")
     by_chunk = counts.unionByName(metas).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     alive = by_chunk.mapInArrow(_survivors(percent), "d1 long, d2 long").distinct()
-    wanted = alive.join(classes, ["d1", "d2"]).select(F.col("row_id").alias("wanted_id"), "d1", "d2", "cls")
-    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "d1", "d2", "cls")
-    sets = staged(chosen.mapInArrow(_whole_sets(size), "cls long, n int, members binary"), "sets")
+    wanted = alive.join(classes, ["d1", "d2"]).select(F.col("member.doc_id").alias("wanted_id"), F.col("member.text_hash").alias("wanted_hash"), "d1", "d2", "cls")
+    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))).select("text", "d1", "d2", "cls")
+    sets = chosen.mapInArrow(_whole_sets(size), "cls long, n int, members binary")
+    if thin.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # else a class has one row here
+        sets = sets.dropDuplicates(["cls"])
+    sets = staged(sets, "sets")
 
     none = np.zeros(0, np.int64)
     often = sets.mapInArrow(_prefixes(percent, none, none), "member long, cls long, n int").groupBy("member").agg(F.count("*").alias("n")).filter("n >= 8")
@@ -399,11 +439,7 @@ def similarity_components(docs: DataFrame, size: int = SIZE, percent: int = PERC
     groups = staged(connected_components(candidates, "candidates"), "groups")
 
     placed = sets.join(groups, sets.cls == groups.node).select("cls", "n", "members", "root")
-    total = placed.groupBy("root").agg(F.sum("n").alias("total")).select("root", F.ceil(F.col("total") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    own = placed.join(total, "root").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = own.select("*", other.alias("other")).select("cls", "n", "members", "block", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = pairs.withColumn("pair", F.concat_ws(":", "root", "i", "j")).drop("root")
+    pairs = _block_pairs(placed, percent)
     links = pairs.repartition("pair").sortWithinPartitions("pair").mapInArrow(_joined(percent), "a long, b long")
     components = staged(connected_components(links, "links"), "linked")
 
