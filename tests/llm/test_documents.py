@@ -84,6 +84,20 @@ def test_blocks_and_chunks_change_nothing(spark, hard, monkeypatch):
     assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(brute_components(pairs(hard)))
 
 
+def test_rows_without_ids_are_not_multiplied(spark):
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 500, 40))
+    base = [text() for _ in range(60)]
+    rows = [(None, t) for t in base] + [(None, t + " end") for t in base[:30]] + [(None, base[0])] * 5 + [(7, base[3]), (7, base[4])]
+    got = near_duplicates.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert order((r.doc_id, r.n_shingles, r.component_id) for r in got) == order(brute_components(rows))
+
+
+def test_ranges_follow_the_rows():
+    bits = [near_duplicates._ranges(n) for n in (0, 10**5, 10**6, 10**8, 10**9, 3 * 10**10)]
+    assert bits == sorted(bits) and bits[0] == (7, 4000) and bits[-1][0] == 19 and bits[-1][1] <= 60_000
+
+
 def test_one_of_each_group_stays(hard):
     kept = near_duplicates.drop_near_duplicates(hard)
     assert kept.columns == hard.columns
@@ -219,6 +233,56 @@ def test_contexts_find_unseen(spark):
     assert not got[101].found and not got[102].spans and len(got[3].spans) == 1
 
 
+def test_contexts_of_groups_and_of_words_without_digits(spark):
+    seeds = [(i, f"please call the office line +1 (555) 010-{1000 + i} before noon") for i in range(20)] + [(50 + i, f"my secret handle is u{i}@mail.org okay then") for i in range(20)]
+    unseen = [(100, "please call the office line 0171 555 1234 before noon"), (101, "my secret handle is blueFalcon okay then"), (102, "an office line was quiet")]
+    text = dict(unseen)
+    df = private_data.find_private(spark.createDataFrame(seeds + unseen, "doc_id long, text string"))
+    got = {r.doc_id: [(s.kind, text[r.doc_id][s.start : s.end]) for s in r.found] for r in df.collect() if r.doc_id >= 100}
+    assert got == {100: [("context_phone", "0171 555 1234")], 101: [("context_email", "blueFalcon")], 102: []}
+
+
+def test_finds_raise_new_patterns(spark):
+    """An identifier found under one pattern induces another one, which finds what the seeds' contexts don't show."""
+    rows = [(i, f"send it to account u{i}@mail.org right now") for i in range(40)]
+    rows += [(100 + i, f"send it to account zz{i}k right now") for i in range(8)] + [(200 + i, f"we have closed ticket zz{i}k for good") for i in range(8)]
+    rows += [(300, "we have closed ticket qq77x for good")]
+    got = {r.doc_id: [s.kind for s in r.found] for r in private_data.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == ["context_email"] and got[200] == ["context_email"] and got[300] == ["context_email"]
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "7" + "x" * 1_000_000, "1." * 500_000, "+1" * 500_000, "a@" * 500_000, "a." * 500_000, "é" * 500_000 + "1"])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    private_data.Units([text])
+    assert time.process_time() - began < 4
+
+
+def test_private_query_equals_brute_force(spark, hard, tmp_path):
+    rng = np.random.default_rng(7)
+    parts = ["a.b@c.org", "10.0.0.300", "10.0.0.30", "4111 1111 1111 1111", "4111-1111-1111-1112", "+44 20 7946 0958", "x@y", "é", "日本", "word", "\n", "9" * 30, "call me on"]
+    more = spark.createDataFrame([(1000 + i, " ".join(rng.choice(parts, 30))) for i in range(60)], "doc_id long, text string")
+    docs = hard.select("doc_id", "text").unionByName(more)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, t in pairs(docs):
+        spans = plain_spans(t or "")
+        written = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((d, *(sum(s[0] == k for s in spans) for k in private_data.KINDS), hashlib.sha256(written.encode()).hexdigest(), written))
+    got = queries.QUERIES["op5_bootstrap"](spark, str(tmp_path)).collect()
+    assert order((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, ",".join(x for x in r.spans.split(",") if x and not x.startswith("context_"))) for r in got) == order(want)
+
+
+def test_bloom_forgets_nothing(spark):
+    keys = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 3000)
+    bloom = private_data.Bloom.of(spark.createDataFrame([(int(k),) for k in keys], "k long"))
+    assert bloom.holds(keys.view(np.uint64)).all()
+    assert bloom.holds(np.arange(1, 10_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).mean() < 0.01
+    assert private_data.Bloom.of(spark.createDataFrame([], "k long")) is None
+
+
 def test_private_hard(hard, nothing):
     assert private_data.find_private(hard).count() == hard.count() and private_data.find_private(nothing).count() == 0
 
@@ -287,6 +351,23 @@ def test_shards_are_even(spark):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in q.collect())
 
 
+@pytest.mark.parametrize("n", [2, 8])
+def test_shards_equal_a_plain_sort(spark, hard, n):
+    """Rows in order of (hash, doc_id): shards are runs of it, slots count along them, edges meet the tolerance."""
+    docs = hard.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, f"text number {i * i} " * (i % 9 + 1)) for i in range(3000)], "doc_id long, text string"))
+    key = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("a"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("b")).alias("key")
+    rows = sorted((tuple(r.key), r["size"], r.shard, r.slot) for r in sharding.shard_by_bytes(docs, n).select(key, "size", "shard", "slot").collect())
+    total, reach, last = sum(size for _, size, _, _ in rows), 0, None
+    slots: dict[int, list[int]] = collections.defaultdict(list)
+    for k, size, shard, slot in rows:
+        assert last is None or shard >= last[1]
+        if last and shard > last[1]:  # an edge: no key in reach is nearer to its target by more than the tolerance
+            assert abs(reach - total * shard / n) <= max(0.001 * total / n, max(s for _, s, _, _ in rows)) + 1
+        slots[shard].append(slot)
+        reach, last = reach + size, (k, shard)
+    assert set(slots) == set(range(n)) and all(x == list(range(len(x))) for x in slots.values())
+
+
 def test_a_hot_group_is_split(spark):
     rows = [(i, "the very same text in all of these rows") for i in range(3000)] + [(5000 + i, f"text {i}") for i in range(1500)]
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 8).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count("*").alias("n")).collect()
@@ -318,7 +399,7 @@ def test_myers(pattern, text):
 def test_pieces_miss_nothing(data):
     item = " ".join(data.draw(st.lists(st.text("abcd", min_size=2, max_size=6), min_size=6, max_size=10)))
     text = list(item)
-    for _ in range(decontamination.budget(item, 0.1)):
+    for _ in range(decontamination.budget(decontamination.normal(item), 0.1)):
         at = data.draw(st.integers(0, len(text)))
         text[at : at + data.draw(st.integers(0, 1))] = data.draw(st.text("xy", max_size=1))
     body = "start " + "".join(text) + " stop"
@@ -327,6 +408,30 @@ def test_pieces_miss_nothing(data):
     assert (got[0][1] if got else 10**6) == (want if want <= decontamination.budget(decontamination.normal(item), 0.1) else 10**6)
 
 
+def test_short_items_stand_between_word_boundaries():
+    find = lambda item, text: [h[1] for h in decontamination.Matcher([(1, item)]).find(text)]
+    assert not find("cat", "concatenate") and not find("a b", "banana bob") and not find("7", "1970")
+    assert find("cat", "The Cat!") == [0] and find("a b", "x, a--b") == [0] and find("cat", "cat") == [0]
+
+
+def test_items_query_equals_brute_force(spark, hard, tmp_path):
+    texts = [t for _, t in pairs(hard) if t]
+    items = [(1, " ".join(texts[5].split()[:30])), (2, "cat"), (3, "one two three"), (4, texts[-10][20:160]), (5, texts[-10][20:80] + "XX" + texts[-10][82:160])]
+    hard.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = []
+    for d, t in pairs(hard):
+        body = decontamination.normal(t or "")[:4000]  # what the items can be in lies before that
+        for i, item in items:
+            own = decontamination.normal(item)
+            if body and own in body:
+                want.append((d, i, 0))
+            elif body and len(body) < 1500 and (n := distance(own, body)) <= decontamination.budget(own):
+                want.append((d, i, n))
+    got = [(r.doc_id, r.item_id, r.distance) for r in queries.QUERIES["op9_pigeonhole_edit"](spark, str(tmp_path)).collect()]
+    assert order(got) == order(want) and len(want) > 5
+
+
 def test_items_hard(spark, hard, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "no ID here, at all friend"), (None, "one two three four"), (5, "one two three four")], "item_id long, text string")
     got = decontamination.find_items(hard, items).collect()
@@ -365,6 +470,36 @@ def test_mixture_budget(spark):
     assert abs(4 * out.count() - 1000) <= 8
 
 
+def test_mixture_equals_brute_force(spark, monkeypatch):
+    """Which rows the last pass takes: whole blocks in their order while they fit, then rows of the next block."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    rows = [(i, "w " * (1 + i * i % 11), "big" if i < 900 else "mid" if i < 1300 else None) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {r.source: r for r in mixing.plan_mixture(docs, 1.7).collect()}
+    want = collections.Counter()
+    for source, p in plan.items():
+        own = docs.filter(F.col("source").eqNullSafe(F.lit(source))).withColumn("__block", mixing._block(F.lit(p.n_blocks)))
+        facts = own.select("doc_id", mixing.n_words().alias("w"), "__block", mixing._block_order(F.lit(p.passes).cast("long")).alias("o"), mixing._row_order(F.lit(p.passes).cast("long")).alias("r")).collect()
+        blocks = collections.defaultdict(list)
+        for x in facts:
+            want[x.doc_id] += p.passes
+            blocks[x.o, x["__block"]].append(x)
+        room = p.rest
+        for _, members in sorted(blocks.items()):
+            if sum(x.w for x in members) <= room:
+                room -= sum(x.w for x in members)
+                want.update(x.doc_id for x in members)
+                continue
+            for x in sorted(members, key=lambda x: x.r):
+                room -= x.w
+                if room < 0:
+                    break
+                want[x.doc_id] += 1
+            break
+    assert plan["big"].n_blocks == 18 and any(p.rest for p in plan.values())
+    assert collections.Counter(r.doc_id for r in mixing.mix(docs, 1.7).collect()) == want
+
+
 def test_mixture_hard(hard, nothing):
     plan = mixing.plan_mixture(hard)
     out = mixing.realise(hard, plan, epoch="e2", order="o2")

@@ -3,13 +3,14 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import repair, token_counts
+from tidemark.llm import queries, repair, token_counts
 from tidemark.llm.tokens import Encoder
 
 NAME = "word_bpe_49k.json"
@@ -43,6 +44,30 @@ def test_counts_and_cache(spark, hard, nothing, tmp_path):
     token_counts.count_tokens(hard, NAME, cache).count()
     assert spark.read.parquet(cache).count() == stored  # nothing was encoded again
     assert token_counts.count_tokens(nothing, NAME, cache).count() == 0
+    assert token_counts.count_tokens(nothing, NAME, str(tmp_path / "empty")).count() == 0
+
+
+def test_a_second_query_encodes_nothing(spark, hard, tmp_path, monkeypatch):
+    hard.write.parquet(str(tmp_path / "documents.parquet"))
+    first = queries.QUERIES["op7_digest_cache"](spark, str(tmp_path)).collect()
+    monkeypatch.setattr(token_counts, "_counts", None)  # an encoder that can't be called
+    again = queries.QUERIES["op7_digest_cache"](spark, str(tmp_path)).collect()
+    want = sorted((str(r.doc_id), len((r.text or "").encode()), len(direct(r.text)), len(direct(r.text)) > 2048) for r in hard.select("doc_id", "text").collect())
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in first) == want
+    assert sorted(map(str, first)) == sorted(map(str, again))
+
+
+def test_all_words_of_the_documents_equal_the_library():
+    """Pieces that the merges encode, over every distinct word of the 0.1 documents."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").combine_chunks()
+    words = pc.unique(pc.split_pattern_regex(pc.drop_null(texts), r"\s+").flatten()).to_pylist()
+    ids, counts = encoder.encode_flat(pa.array(words))
+    want = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert len(words) > 10_000 and counts.tolist() == list(map(len, want))
+    assert ids.tolist() == [i for w in want for i in w]
 
 
 @pytest.mark.parametrize("block_ids", [50, 1 << 20])

@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, staged, text_or_empty, unsigned_crc32
 
-BUCKET_BYTES = 8 << 20
+#: Small buckets spread evenly over tasks, though they are dealt by hash; they grow only where the splitters of all
+#: shards, which the driver holds, would be more than MOST_SPLITTERS (at 100 TB a bucket has 1.5 GB).
+BUCKET_BYTES = 1 << 20
+LEAST_BUCKETS = 16
+MOST_SPLITTERS = 1 << 16
 PROBES = 16
 TOP = (1 << 64) - 1
 SIGN = 1 << 63
@@ -112,7 +116,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001,
     total, rows = thin.agg(F.sum("size"), F.count("*")).first()
     if not rows:
         return docs.select("*", size.alias("size"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    buckets = max(16, min(1024, math.ceil(total / n_shards / bucket_bytes)))
+    buckets = max(LEAST_BUCKETS, min(MOST_SPLITTERS // n_shards, math.ceil(total / n_shards / bucket_bytes)))
     keys = find_splitters(thin, n_shards, buckets, tolerance, 0.2, total)
     distinct = sorted(set(keys))
     _, below = _histogram(thin, distinct)
