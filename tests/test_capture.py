@@ -6,7 +6,9 @@ import struct
 import pytest
 
 from tidemark.config import Settings, SettingsError
-from tidemark.errors import CaptureError, InvalidCapturePath
+from tidemark.dimensions import VELOCITY_FEATURES
+from tidemark.errors import CaptureError, DetectionError, InvalidCapturePath
+from tidemark.operators import windows
 from tidemark.plans import workflows
 from tidemark.sources import pcap
 
@@ -77,6 +79,33 @@ def test_source_and_reader_agree(spark, tmp_path):
         pcap.check_path(str(tmp_path))
 
 
+@pytest.mark.parametrize("split", [1000, 70_000, 1 << 20])
+def test_ranges_of_a_file_are_read_apart(spark, tmp_path, split, monkeypatch):
+    monkeypatch.setattr(pcap, "MOST_RECORD", 3000)
+    rng, frames = random.Random(9), []
+    inner = capture([(1_600_000_000 + i, ethernet(udp(7, 8, b"z" * 20))) for i in range(10)])  # a capture sent in a packet
+    for i in range(900):
+        body = inner if i % 50 == 7 else rng.randbytes(rng.randint(0, 1200))
+        frames.append((1_700_000_000 + i / 8, ethernet(udp(5000, 53, body))))
+    data = capture(frames)
+    (tmp_path / "a.pcap").write_bytes(data)
+    whole = list(pcap.frames(data))
+    reader = pcap._Reader({"path": str(tmp_path / "a.pcap"), "splitBytes": str(split)})
+    parts = reader.partitions()
+    assert len(parts) == (1 if len(data) <= split else -(-len(data) // split))
+    got = []
+    for p in parts:
+        with open(p.path, "rb") as f:
+            got += list(pcap.frames(f, p.start, p.end))
+    assert got == whole and len(whole) == 900
+
+
+def test_left_out_frames_are_counted(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(capture(FRAMES))
+    r = pcap.skipped(spark, str(tmp_path / "a.pcap")).first()
+    assert (r.capture_id, r.frames, r.rows) == ("a.pcap", 7, 4) and r.left_out + r.malformed == 3
+
+
 def traffic(seconds, flood=()):
     rng, out = random.Random(5), []
     for s in range(seconds):
@@ -97,7 +126,8 @@ def test_train_detect_report(spark, tmp_path):
     settings = Settings.of({"mixture": {"adaptive": False, "components": 2, "max_iter": 5}, "forest": {"trees": 20}})
     (tmp_path / "calm.pcap").write_bytes(capture(traffic(150)))
     (tmp_path / "attack.pcap").write_bytes(capture(traffic(150, range(100, 112))))
-    trained = workflows.train(pcap.read_captures(spark, str(tmp_path / "calm.pcap")), settings)
+    trained = workflows.train(pcap.read_captures(spark, str(tmp_path / "calm.pcap")), settings, audit=str(tmp_path / "audit"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "audit")).count() == 150
     trained.save(spark, str(tmp_path / "bundle"))
     bundle = workflows.Bundle.load(spark, str(tmp_path / "bundle"))
     assert bundle.document() == trained.document()
@@ -108,7 +138,17 @@ def test_train_detect_report(spark, tmp_path):
     assert len(flagged & set(range(100, 112))) >= 10
     assert all(r.is_anomaly for r in rows if r.vel_bypass) and all(r.severity == 0 for r in rows if not r.is_anomaly)
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out/report")).collect())
-    assert "## Summary" in text
+    assert all(f"## {x}" in text for x in ("Parameters", "Summary", "Families", "Incidents", "Data drops"))
+    found = workflows.report(spark.read.parquet(str(tmp_path / "out/results.parquet")), settings)
+    shown = found["reportable"].orderBy("start_time").collect()
+    assert shown and all(f"incident {r.incident_id + 1}" in text and f"{r.start_time:%Y-%m-%d %H:%M:%S}" in text for r in shown)
+    assert "| 0 | volume |" in text and found["radar"].count() == 6
+    assert workflows.load_scaler(spark, str(tmp_path / "bundle/scaler")) == bundle.scaler
+    assert workflows.pdf(found, str(tmp_path / "r.pdf")) is False and not (tmp_path / "r.pdf").exists()
+    matrix = windows.window_features(pcap.read_captures(spark, str(tmp_path / "attack.pcap")), bundle.protocols)
+    with pytest.raises(DetectionError, match="bytes_velocity"):
+        workflows.detect_matrix(matrix.drop("bytes_velocity"), bundle, settings)
+    assert workflows.detect_matrix(matrix.drop(*VELOCITY_FEATURES), bundle, settings).filter("vel_bypass").count() == 0
 
 
 def test_settings_report_all_violations(tmp_path):

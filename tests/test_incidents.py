@@ -83,5 +83,4 @@ def test_state_machine_equals_a_walk(spark, seed):
     for _, _, flag, score in rows:
         value, state = decisions.hysteresis_step(state, flag, score, 1.0, 3, 1.0, 0.75)
         want.append(value)
-    for f in (decisions.hysteresis, decisions.hysteresis_large):
-        assert [r.stable for r in f(df, 1.0).orderBy("bucket").collect()] == want
+    assert [r.stable for r in decisions.hysteresis(df, 1.0).orderBy("bucket").collect()] == want

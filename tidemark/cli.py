@@ -6,6 +6,7 @@ import argparse
 import logging
 import logging.handlers
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -40,12 +41,15 @@ def main(argv: list[str] | None = None) -> int:
         logging.basicConfig(level="DEBUG" if args.verbose else settings.logging.level, handlers=handlers, force=True)
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if args.command == "report":
-            text = workflows.markdown(workflows.report(read_results(spark, args.results), settings))
-            Path(args.out).write_text(text)
+            tables = workflows.report(read_results(spark, args.results), settings)
+            if args.out.endswith(".pdf"):
+                return 0 if workflows.pdf(tables, args.out, settings) else 1
+            with Path(args.out).open("w") as f:
+                f.writelines(line + "\n" for line in workflows.lines(tables, settings))
             return 0
         packets = read_captures(spark, args.source, settings.ingestion.bucket_seconds)
         if args.command == "train":
-            workflows.train(packets, settings, args.source).save(spark, args.bundle)
+            workflows.train(packets, settings, args.source, f"{args.bundle.rstrip('/')}/audit").save(spark, args.bundle)
         elif args.command == "matrix":
             from tidemark.operators.windows import window_features
 
@@ -55,8 +59,10 @@ def main(argv: list[str] | None = None) -> int:
             if args.command == "run":
                 workflows.run(spark, packets, bundle, args.out, settings)
             else:
+                began = time.time()
                 write_results(workflows.detect(packets, bundle, settings), args.out)
-                write_json(spark, f"{args.out.rstrip('/')}-summary", workflows.detection_summary(read_results(spark, args.out), 0.0))
+                took = time.time() - began
+                write_json(spark, f"{args.out.rstrip('/')}-summary", workflows.detection_summary(read_results(spark, args.out), took))
     except KeyboardInterrupt:
         return 130
     except (TidemarkError, SettingsError, OSError) as e:

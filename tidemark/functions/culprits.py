@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from tidemark.dimensions import FAMILY_WORDS
 
 
+# The grammar of a culprit's text, "name (SPIKE (+865%), σ=4.2)", in any case. What can't be read is
+# 'unknown', 'UNKNOWN' or 0; a number that isn't one ("1.2.3") counts as what can't be read.
+NAME = r"(?i)^([a-z_][a-z0-9_]*)"
+EVENT = r"(?i)\b(SPIKE|DROP)\b"
+SIGMA = r"(?i)σ\s*=\s*([\d.]+)"
+PERCENT = r"(?i)(?:SPIKE|DROP)\s*\(([+-]?[\d.]+)%\)"
+BLANK = r"^\s+"
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1)
+
+
 def base_name(text: Column) -> Column:
-    found = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)^([a-z_][a-z0-9_]*)", 1))
+    found = F.lower(_found(F.regexp_replace(text, BLANK, ""), NAME))
     return F.when(found == "", "unknown").otherwise(found)
 
 
 def event_type(text: Column) -> Column:
-    found = F.upper(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)\b(SPIKE|DROP)\b", 1))
+    found = F.upper(_found(text, EVENT))
     return F.when(found == "", "UNKNOWN").otherwise(found)
 
 
 def sigma(text: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"σ\s*=\s*([\d.]+)", 1)
-    return F.when(found == "", 0.0).otherwise(found.cast("double"))
+    return F.coalesce(_found(text, SIGMA).try_cast("double"), F.lit(0.0))
 
 
 def percent(text: Column) -> Column:
-    found = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?:SPIKE|DROP)\s*\(([+-]?[\d.]+)%\)", 1)
-    return F.when(found == "", 0.0).otherwise(F.abs(found.cast("double")))
+    return F.coalesce(F.abs(_found(text, PERCENT).try_cast("double")), F.lit(0.0))
 
 
 def family(name: Column, consensus: Column) -> Column:

@@ -66,27 +66,11 @@ def persist(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 def hysteresis(df: DataFrame, threshold: float, base: int = 3, entry: float = 1.0, exit_: float = 0.75, out: str = "stable") -> DataFrame:
-    """A state machine over each capture's rows in order: alerts begin above the entry and end when the score stays below the exit.
+    """A state machine over each capture's rows in order: alerts begin above the entry and end when the score stays below
+    the exit. How many low rows end an alert falls with the score.
 
-    The rows of a capture are gathered in one array, of three numbers a bucket (a day of seconds is 86,400), and folded
-    without leaving the JVM. How many low rows end an alert falls with the score.
+    Rows pass in Arrow batches; the state, two values, goes from batch to batch.
     """
-    high, low = threshold * entry, threshold * exit_
-    step = f"""(s, r) -> CASE
-      WHEN NOT s.alert THEN CASE WHEN r.flag = 1 AND r.score > {high!r}D
-        THEN named_struct('alert', true, 'clear', 0, 'out', concat(s.out, array(1))) ELSE named_struct('alert', false, 'clear', s.clear, 'out', concat(s.out, array(0))) END
-      WHEN r.score < {low!r}D THEN CASE WHEN s.clear + 1 >= greatest(1, least({base}, cast(3 / (r.score / ({high!r}D + 1e-10D) + 0.1D) as int)))
-        THEN named_struct('alert', false, 'clear', 0, 'out', concat(s.out, array(0))) ELSE named_struct('alert', true, 'clear', s.clear + 1, 'out', concat(s.out, array(1))) END
-      ELSE named_struct('alert', true, 'clear', 0, 'out', concat(s.out, array(1))) END"""
-    rows = df.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct("bucket", F.col("is_anomaly").alias("flag"), F.col("balltree_score").cast("double").alias("score")))).alias("rows"))
-    start = "named_struct('alert', false, 'clear', 0, 'out', cast(array() as array<int>))"
-    rows = rows.withColumn("flags", F.expr(f"aggregate(rows, {start}, {step}, s -> s.out)"))
-    flags = rows.select("capture_id", F.explode(F.arrays_zip(F.col("rows.bucket").alias("bucket"), "flags")).alias("z")).select("capture_id", "z.bucket", F.col("z.flags").alias(out))
-    return df.join(flags, ["capture_id", "bucket"])
-
-
-def hysteresis_large(df: DataFrame, threshold: float, base: int = 3, entry: float = 1.0, exit_: float = 0.75, out: str = "stable") -> DataFrame:
-    """The same by Arrow batches in order, for captures whose array would be large: state passes from batch to batch."""
     import pyarrow as pa
 
     def run(batches):

@@ -11,7 +11,7 @@ from tidemark.functions.statistics import sample_kurtosis, sample_skewness
 def histogram(packets: DataFrame, width: float = 1.0) -> DataFrame:
     """Packets in equal bins over the time span, int(span / width) + 1 of them; empty bins have no row. Bins close on the right."""
     span = packets.groupBy("capture_id").agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
-    df = packets.join(F.broadcast(span), "capture_id")  # a row for each capture
+    df = packets.join(span, "capture_id")  # a row for each capture: Spark broadcasts it by its measured size
     bins = F.floor((F.col("high") - F.col("low")) / width) + 1
     place = F.greatest(F.ceil((F.col("timestamp") - F.col("low")) / (F.col("high") - F.col("low")) * bins) - 1, F.lit(0))
     return df.groupBy("capture_id", F.coalesce(place, F.lit(0)).cast("long").alias("bin"), bins.cast("long").alias("bins")).agg(F.count("*").alias("n"))

@@ -131,6 +131,21 @@ def family_distribution(rows: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("family", "n", (F.col("n") / F.col("total")).alias("share"))  # one row of totals
 
 
+#: The families of the radar, in the order of its axes.
+RADAR = ("volume", "payload", "flags", "protocol", "connection", "kinematics")
+
+
+def family_radar(stress: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each family's part of the incidents' stress shares together; where no incident has any, of the rows with a culprit."""
+    shares = stress.groupBy("family").agg(F.sum("share").alias("a"))
+    counts = parsed(rows).groupBy("family").agg(F.count("*").cast("double").alias("b"))
+    both = shares.join(counts, "family", "full")
+    total = both.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("all_a"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("all_b"))  # one row
+    both = both.join(F.broadcast(total)).withColumn("value", F.when(F.col("all_a") > 0, F.col("a") / F.col("all_a")).when(F.col("all_b") > 0, F.col("b") / F.col("all_b")))
+    axes = rows.sparkSession.createDataFrame(list(enumerate(RADAR)), "axis int, family string")
+    return F.broadcast(axes).join(both, "family", "left").select("axis", "family", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def threat_distribution(rows: DataFrame) -> DataFrame:
     return parsed(rows).groupBy("feature").agg(F.count("*").alias("n"))
 

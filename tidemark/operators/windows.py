@@ -81,8 +81,12 @@ def select_features(windows: DataFrame) -> DataFrame:
     return windows.select(*[c for c in KEYS if c in windows.columns], *names, *[c for c in METADATA if c in windows.columns]).fillna(0)
 
 
+NUMBERS = ("double", "float", "tinyint", "smallint", "int", "bigint", "decimal")
+
+
 def feature_names(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in KEYS and c not in METADATA and not c.startswith(("_", "meta_"))]
+    """The numeric columns but for keys and metadata."""
+    return [c for c, kind in df.dtypes if kind.startswith(NUMBERS) and c not in KEYS and c not in METADATA and not c.startswith(("_", "meta_"))]
 
 
 def window_features(packets: DataFrame, protocols: list[str] | None = None) -> DataFrame:

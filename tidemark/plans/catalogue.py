@@ -14,6 +14,7 @@ from tidemark.functions.statistics import NORMAL_CDF_SQL, normal_cdf
 from tidemark.operators import decisions, detectors, evaluation, health, incidents, projection, scaling, windows
 from tidemark.plans import sql as S
 from tidemark.plans import tables as T
+from tidemark.scratch import staged
 from tidemark.sources.adapters import lineitems_as_packets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,11 +306,6 @@ def x_hysteresis(spark, sf):
     return decisions.hysteresis(_flags(spark, sf), 0.6).select(*KEYS, "stable")
 
 
-@register("x_hysteresis_large", _HYST)
-def x_hysteresis_large(spark, sf):
-    return decisions.hysteresis_large(_flags(spark, sf), 0.6).select(*KEYS, "stable")
-
-
 @register(
     "x_moving_average_label",
     f"WITH {S.RESULTS.strip()}, a AS (SELECT *, avg(balltree_score) OVER (PARTITION BY capture_id ORDER BY bucket ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ma FROM results) SELECT capture_id, bucket, round(ma, 6) AS anomaly_ma_score, CASE WHEN balltree_score / (ma + 1e-10) > 1.5 THEN 'Transient Spike' ELSE 'Sustained Attack' END AS persistence FROM a WHERE is_anomaly = 1 OR balltree_severity >= 0.5",
@@ -338,8 +334,9 @@ def f_tier_evidence(spark, sf):
     return T.rounded(incidents.tier_evidence(T.found(spark, sf)), *INC, "tier", "fired", "fire_count", "mean_score")
 
 
-_PARSED = f"""{S.INCIDENTS.strip()}, parsed0 AS (SELECT *, lower(regexp_extract(physical_culprit, '(?i)^([a-z_][a-z0-9_]*)', 1)) AS feature, upper(regexp_extract(physical_culprit, '(?i)\\b(SPIKE|DROP)\\b', 1)) AS event_type,
-  greatest(CAST(regexp_extract(physical_culprit, 'σ\\s*=\\s*([\\d.]+)', 1) AS DOUBLE), abs(culprit_deviation)) AS sigma, abs(CAST(regexp_extract(physical_culprit, '(?:SPIKE|DROP)\\s*\\(([+-]?[\\d.]+)%\\)', 1) AS DOUBLE)) AS pct
+_PARSED = f"""{S.INCIDENTS.strip()}, parsed0 AS (SELECT *, coalesce(nullif(lower(regexp_extract(regexp_replace(physical_culprit, '^\\s+', ''), '(?i)^([a-z_][a-z0-9_]*)', 1)), ''), 'unknown') AS feature,
+  coalesce(nullif(upper(regexp_extract(physical_culprit, '(?i)\\b(SPIKE|DROP)\\b', 1)), ''), 'UNKNOWN') AS event_type, greatest(coalesce(TRY_CAST(regexp_extract(physical_culprit, '(?i)σ\\s*=\\s*([\\d.]+)', 1) AS DOUBLE), 0), abs(culprit_deviation)) AS sigma,
+  coalesce(abs(TRY_CAST(regexp_extract(physical_culprit, '(?i)(?:SPIKE|DROP)\\s*\\(([+-]?[\\d.]+)%\\)', 1) AS DOUBLE)), 0) AS pct
   FROM clustered WHERE physical_culprit IS NOT NULL), parsed AS (SELECT *, {culprits.family_sql('feature', 'family_consensus')} AS family FROM parsed0)"""
 _TOP = f"""{_PARSED}, feats AS (SELECT capture_id, incident_id, feature, max(sigma) AS max_sigma, max(pct) AS max_pct, arg_max(event_type, (sigma, -bucket)) AS event_type, arg_min(family, bucket) AS family, min(bucket) AS first_seen FROM parsed GROUP BY ALL),
 ranked AS (SELECT *, max_sigma / max(max_sigma) OVER (PARTITION BY capture_id, incident_id) AS loading, row_number() OVER (PARTITION BY capture_id, incident_id ORDER BY max_sigma DESC, first_seen)::INT AS rank FROM feats), top AS (SELECT * FROM ranked WHERE rank <= 3)"""
@@ -397,13 +394,29 @@ SELECT capture_id, epoch_us(start_time) AS start_us, epoch_us(ts) AS end_us, rou
   CASE WHEN sat THEN '[POSSIBLE_SENSOR_SATURATION] Gap follows high-severity incident' WHEN ctx AND severity_before >= 2 THEN 'Sensor Blindness / Data Drop due to Saturation' ELSE 'Capture Loss / Network Silence' END AS reason FROM d""",
 )
 def f_data_drops(spark, sf):
-    df = incidents.data_drops(T.results(spark, sf), T.found(spark, sf), S.DROP, S.NEAR)
+    results = T.results(spark, sf)
+    df = incidents.data_drops(results, T.found_of(results), S.DROP, S.NEAR)
     return df.select("capture_id", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), F.round("gap_seconds", 6).alias("gap_seconds"), "severity_before", "is_anomaly_context", "reason")
 
 
 _REPORT = "n >= 1 AND duration >= 1 AND confidence >= 0.6 AND mean_sigma >= 2"
 
 
+_AXES = "axes(axis, family) AS (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(incidents.RADAR)) + ")"
+
+
+@register(
+    "f_family_radar",
+    f"""WITH {_PARSED}, {_AXES}, st AS (SELECT capture_id, incident_id, family, sum(abs(coalesce(culprit_deviation, 0))) AS s FROM parsed GROUP BY ALL),
+sh AS (SELECT family, s / CASE WHEN sum(s) OVER w = 0 THEN 1 ELSE sum(s) OVER w END AS share FROM st WINDOW w AS (PARTITION BY capture_id, incident_id)), ag AS (SELECT family, sum(share) AS a FROM sh GROUP BY family),
+ct AS (SELECT family, count(*) AS b FROM parsed GROUP BY family), t AS (SELECT (SELECT coalesce(sum(a), 0) FROM ag) AS ta, (SELECT coalesce(sum(b), 0) FROM ct) AS tb)
+SELECT axis, family, round(coalesce(CASE WHEN ta > 0 THEN a / ta WHEN tb > 0 THEN b / tb END, 0), 6)::DOUBLE AS value FROM axes LEFT JOIN ag USING (family) LEFT JOIN ct USING (family), t""",
+)
+def f_family_radar(spark, sf):
+    rows = staged(T.clustered(spark, sf), "clustered")
+    return T.rounded(incidents.family_radar(incidents.family_stress(rows), rows), "axis", "family", "value")
+
+
 @register("f_reportable", f"WITH {S.FOUND.strip()} SELECT capture_id, incident_id, n, round(confidence, 6) AS confidence FROM found WHERE {_REPORT}")
 def f_reportable(spark, sf):
     return T.rounded(incidents.reportable(T.found(spark, sf), 0.6), *INC, "n", "confidence")
@@ -416,8 +429,8 @@ def f_reportable(spark, sf):
 (SELECT round(avg(confidence), 6) FROM found) AS mean_confidence, (SELECT count(*) FROM found WHERE {_REPORT}) AS reportable, (SELECT round(avg(is_anomaly), 6) FROM results) AS anomaly_rate""",
 )
 def f_summary(spark, sf):
-    found = T.found(spark, sf)
     results = T.results(spark, sf)
+    found = T.found_of(results)
     return T.rounded(incidents.summary(results, incidents.anomalies(results), found, incidents.reportable(found, 0.6)))
 
 
@@ -479,7 +492,8 @@ def e_recall(spark, sf):
 
 @register("e_nearest_window", f"WITH {S.FOUND.strip()} SELECT f.capture_id, f.incident_id, round(max(r.balltree_score), 6) AS peak FROM found f JOIN results r ON r.capture_id = f.capture_id AND r.ts BETWEEN f.start_time AND f.end_time GROUP BY ALL")
 def e_nearest_window(spark, sf):
-    return T.rounded(evaluation.peaks(T.found(spark, sf), T.results(spark, sf), "balltree_score"))
+    results = T.results(spark, sf)
+    return T.rounded(evaluation.peaks(T.found_of(results), results, "balltree_score"))
 
 
 # ---- health ----
@@ -549,7 +563,7 @@ def m_pca_global(spark, sf):
 
 
 def _points(spark, sf):
-    return _doubles(spark, sf).select(*KEYS, F.array(*_COV).alias("coords")).repartition(4)
+    return _doubles(spark, sf).select(*KEYS, F.array(*_COV).alias("coords"))
 
 
 @register("m_gmm_em")

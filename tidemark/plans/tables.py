@@ -9,6 +9,7 @@ from tidemark.functions.packets import byte_entropy
 from tidemark.functions.statistics import first_greatest
 from tidemark.operators import attribution, detectors, incidents, scaling, windows
 from tidemark.plans.sql import DEBOUNCE, FEATURES, PROTOCOLS
+from tidemark.scratch import staged
 from tidemark.sources.adapters import events_as_packets
 
 
@@ -33,8 +34,9 @@ def kinematics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of results whose scores come from z-scores of the windows' features."""
-    df = kinematics(spark, sf_dir)
+    """A table of results whose scores come from z-scores of the windows' features. Windows and results are written once,
+    as statistics and each further step read them again."""
+    df = staged(kinematics(spark, sf_dir), "windows")
     base_stats = scaling.baseline(df, FEATURES)
     zs = attribution.z_scores(base_stats, FEATURES)
     df = attribution.culprit(df, base_stats, FEATURES)
@@ -49,7 +51,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p90, p95, p99, p999 = p[0]
     odd = (F.col("top_z") > p90) | F.col("vel_bypass")
     level = detectors.neighbour_severity(F.col("top_z"), p90, p95, p99, p999, slack=1.0)
-    return df.select(
+    df = df.select(
         "capture_id", "bucket", "_abs_timestamp", "server_port", (F.col("top_z") / F.lit(p99)).alias("balltree_score"), level.alias("balltree_severity"), F.col("sum_z2").alias("gmm_score"),
         (F.col("sum_z2") > p[1]).cast("int").alias("gmm_anomaly"), F.col("mean_z").alias("iforest_score"), (F.col("mean_z") > p[2]).cast("int").alias("iforest_anomaly"), "vel_score", "vel_bypass", "vel_culprit",
         "vel_severity", "family_consensus", F.when(odd, F.col("physical_culprit")).alias("physical_culprit"), F.when(odd, F.col("culprit_z")).otherwise(0.0).alias("culprit_deviation"),
@@ -57,6 +59,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("top_z") > p95) | F.col("vel_bypass")).cast("int").alias("is_anomaly"), F.when(F.col("vel_bypass"), F.greatest(F.floor(level), F.lit(1)).cast("double")).when(level >= 1, level).otherwise(0.0).alias("severity"),
         F.timestamp_micros((F.col("_abs_timestamp") * 1_000_000).cast("long")).alias("ts"),
     )
+    return staged(df, "results")
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,11 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.incidents(clustered(spark, sf_dir))
+    return found_of(results(spark, sf_dir))
+
+
+def found_of(results: DataFrame) -> DataFrame:
+    return incidents.incidents(incidents.cluster(incidents.anomalies(results), DEBOUNCE))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:

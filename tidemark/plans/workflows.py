@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
+import logging
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -12,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
-from tidemark.errors import ArtifactError, InsufficientData
+from tidemark.dimensions import VELOCITY_FEATURES
+from tidemark.errors import ArtifactError, DetectionError, InsufficientData
 from tidemark.operators import attribution, decisions, detectors, incidents, projection, scaling, windows
-from tidemark.sources.results import read_json, write_json, write_results
+from tidemark.scratch import staged
+from tidemark.sources.results import read_json, write_json, write_matrix, write_results
 
 
 @dataclass
@@ -50,6 +55,12 @@ class Bundle:
         spark.createDataFrame([(i, p) for i, p in enumerate(document.pop("points"))], "place long, coords array<double>").write.mode("overwrite").parquet(f"{path}/points")
         write_json(spark, f"{path}/model", document)
         write_json(spark, f"{path}/sidecar", self.metadata)
+        self.save_scaler(spark, f"{path}/scaler")
+
+    def save_scaler(self, spark: SparkSession, path: str) -> None:
+        """The scaler as a table of its own: feature, centre, scale."""
+        rows = [(n, float(centre), float(scale)) for n, (centre, scale) in self.scaler.items()]
+        spark.createDataFrame(rows, "feature string, centre double, scale double").coalesce(1).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bundle:
@@ -69,14 +80,20 @@ class Bundle:
         )
 
 
-def train(packets: DataFrame, settings: Settings = Settings(), source: str = "") -> Bundle:
-    """Fit all tiers on packets that are known to be normal."""
+def load_scaler(spark: SparkSession, path: str) -> dict[str, tuple[float, float]]:
+    return {r.feature: (r.centre, r.scale) for r in spark.read.parquet(path).collect()}
+
+
+def train(packets: DataFrame, settings: Settings = Settings(), source: str = "", audit: str | None = None) -> Bundle:
+    """Fit all tiers on packets that are known to be normal; audit: a folder for the unscaled matrix as CSV."""
     began, t = time.time(), settings
     protocols = windows.protocols_of(packets)
-    matrix = windows.window_features(packets, protocols).persist()
+    cached = matrix = windows.window_features(packets, protocols).persist()
     n = matrix.count()
     if n < t.training.least_rows:
         raise InsufficientData(f"{n} windows; training needs {t.training.least_rows}")
+    if audit:
+        write_matrix(matrix, audit)
     names = windows.feature_names(matrix)
     matrix = scaling.sanitise(matrix, names)
     medians, scaler = scaling.medians(matrix, names), scaling.fit_scaler(matrix, names)
@@ -102,15 +119,21 @@ def train(packets: DataFrame, settings: Settings = Settings(), source: str = "")
         "training_date": datetime.now(UTC).isoformat(), "source": source, "aggregated_windows": n, "feature_count": len(names), "training_duration_sec": time.time() - began, "per_feature_ll_thresholds": thresholds,
         "training_stats": {"dimensions": sum(len(b.loadings) for b in blocks), "balltree_training_p99_distance": neighbours.p99, "gmm_components": k}, "config": json.loads(json.dumps(asdict(t))),
     }
-    for df in (points, scaled):
+    for df in (points, scaled, cached):
         df.unpersist()
     return Bundle(names, protocols, scaler, medians, base, blocks, neighbours, mixture, forest, univariate, thresholds, bounds, metadata)
 
 
 def detect(packets: DataFrame, bundle: Bundle, settings: Settings = Settings(), frozen: bool = False) -> DataFrame:
     """Results for each window of the packets; nothing is fitted. frozen takes the training's extremes instead of the batch's."""
+    return detect_matrix(windows.window_features(packets, bundle.protocols), bundle, settings, frozen)
+
+
+def detect_matrix(matrix: DataFrame, bundle: Bundle, settings: Settings = Settings(), frozen: bool = False) -> DataFrame:
+    """The same for a matrix of windows. It must have all features of the bundle but for rates of change."""
     t = settings
-    matrix = windows.window_features(packets, bundle.protocols)
+    if missing := sorted(set(bundle.features) - set(VELOCITY_FEATURES) - set(matrix.columns)):
+        raise DetectionError(f"the windows lack features of the bundle: {', '.join(missing)}")
     keep = ("capture_id", "bucket", "_abs_timestamp", "server_port")
     df = scaling.apply_scaler(scaling.align_schema(matrix, bundle.features, bundle.medians, keep), bundle.scaler)
     df = projection.project(df, bundle.blocks)
@@ -173,31 +196,102 @@ def report(results: DataFrame, settings: Settings = Settings()) -> dict[str, Dat
     """The tables of a report."""
     f = settings.forensic
     df = incidents.timeline(results)
-    rows = incidents.cluster(incidents.anomalies(df), f.debounce_seconds)
+    rows = staged(incidents.cluster(incidents.anomalies(df), f.debounce_seconds), "report-rows")  # most tables read them
     found = incidents.incidents(rows)
     shown = incidents.reportable(found, f.confidence, f.min_anomalies, f.min_duration_seconds, f.sigma_min)
     return {
         "summary": incidents.summary(df, rows, found, shown), "incidents": found, "reportable": shown, "tiers": incidents.tier_evidence(found), "features": incidents.top_features(rows, f.top_features),
         "ports": incidents.top_ports(rows), "stress": incidents.family_stress(rows), "families": incidents.family_distribution(rows), "threats": incidents.threat_distribution(rows),
-        "techniques": incidents.techniques(rows), "drops": incidents.data_drops(df, found, f.drop_threshold_seconds), "timeline": df.select("capture_id", "ts", "balltree_score", "severity", "is_anomaly"),
+        "techniques": incidents.techniques(rows), "persistence": incidents.most_frequent(rows, "persistence").drop("times") if "persistence" in rows.columns else found.select("capture_id", "incident_id", F.lit(None).cast("string").alias("persistence")), "drops": incidents.data_drops(df, found, f.drop_threshold_seconds), "radar": incidents.family_radar(incidents.family_stress(rows), rows), "timeline": df.select("capture_id", "ts", "balltree_score", "severity", "is_anomaly"),
     }
 
 
-def markdown(tables: dict[str, DataFrame], most: int = 200) -> str:
-    """The report as text: totals, then each table's first rows."""
-    out = ["# Telemetry anomaly report", "", "## Summary", ""]
-    out += [f"- {k}: {v}" for k, v in tables["summary"].first().asDict().items()]
-    order = {"reportable": ["start_time"], "features": ["capture_id", "incident_id", "rank"], "drops": ["start_time"], "families": ["family"], "techniques": ["capture_id", "incident_id", "technique"], "stress": ["capture_id", "incident_id", "family"]}
-    for name, by in order.items():
-        df = tables[name].orderBy(*by)
-        rows = df.limit(most).collect()
-        out += ["", f"## {name.capitalize()}", ""]
-        if not rows:
-            out.append("None.")
-            continue
-        out += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-        out += ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
-    return "\n".join(out) + "\n"
+SEVERITY = {1: "low", 2: "high", 3: "critical"}
+
+
+def _shown(v) -> str:
+    if isinstance(v, datetime):
+        return v.strftime("%Y-%m-%d %H:%M:%S")
+    return "-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+
+
+def _grid(names: list[str], rows) -> Iterator[str]:
+    yield "| " + " | ".join(names) + " |"
+    yield "|" + "---|" * len(names)
+    for r in rows:
+        yield "| " + " | ".join(map(_shown, r)) + " |"
+    yield ""
+
+
+def lines(tables: dict[str, DataFrame], settings: Settings = Settings()) -> Iterator[str]:
+    """The report's lines: parameters, totals, families, each reportable incident in turn, data drops. Rows are streamed,
+    all of them."""
+    f = settings.forensic
+    yield from ("# Telemetry anomaly report", "", f"Generated {datetime.now(UTC):%Y-%m-%d %H:%M:%S} UTC", "")
+    span = tables["timeline"].agg(F.min("ts"), F.max("ts")).first()
+    yield from (f"Windows from {_shown(span[0])} to {_shown(span[1])}", "", "## Parameters", "")
+    parameters = [("debounce (s)", f.debounce_seconds), ("data drop from (s)", f.drop_threshold_seconds), ("least confidence", f.confidence), ("least anomalies", f.min_anomalies), ("least duration (s)", f.min_duration_seconds), ("least mean sigma", f.sigma_min)]
+    yield from _grid(["parameter", "value"], parameters)
+    yield from ("## Summary", "")
+    totals = tables["summary"].first().asDict()
+    worst = tables["incidents"].agg(F.max("max_severity"), F.avg("max_severity"), F.avg("duration")).first()
+    yield from (f"- {k}: {_shown(v)}" for k, v in totals.items())
+    if worst[0] is not None:
+        yield from (f"- largest severity: {worst[0]:g} of 3 ({SEVERITY.get(int(worst[0]), 'none')})", f"- mean severity: {worst[1]:.2f}", f"- mean duration: {worst[2]:.1f} s")
+    yield from (f"- data drops: {tables['drops'].count()}", "", "## Families", "")
+    yield from _grid(["family", "anomalies", "share"], tables["families"].select("family", "n", "share").orderBy(F.desc("n"), "family").collect())
+    yield from _grid(["axis", "family", "part of the stress"], tables["radar"].orderBy("axis").collect())  # six rows
+    yield from ("## Incidents", "")
+    none = True
+    for r in _sections(tables).toLocalIterator():
+        none = False
+        yield from (f"### {r.capture_id}, incident {r.incident_id + 1}", "")
+        facts = [("start", r.start_time), ("end", r.end_time), ("duration (s)", r.duration), ("anomalous windows", r.n), ("severity", f"{r.max_severity:g} of 3, {SEVERITY.get(int(r.max_severity), 'none')}"), ("severity score", r.severity_score), ("confidence", r.confidence), ("persistence", r.persistence), ("ports", ", ".join(map(str, r.ports or [])) or None), ("warm-up", "yes" if r.is_warmup else "no")]
+        yield from _grid(["field", "value"], facts)
+        yield from _grid(["tier", "fired", "times", "mean score"], [tuple(t)[1:] for t in r.tiers or []])
+        if r.features:
+            yield from _grid(["rank", "feature", "family", "event", "largest sigma", "largest per cent", "loading"], r.features)
+        by_tactic: dict[str, list[str]] = {}
+        for t in r.techniques or []:
+            by_tactic.setdefault(t.tactic, []).append(t.technique)
+        yield from (f"- {tactic}: {', '.join(names)}" for tactic, names in by_tactic.items())
+        yield ""
+    if none:
+        yield from ("None.", "")
+    yield from ("## Data drops", "")
+    yield from _grid(["capture", "start", "end", "gap (s)", "severity before", "reason"], (tuple(r) for r in tables["drops"].orderBy("start_time", "capture_id").select("capture_id", "start_time", "end_time", "gap_seconds", "severity_before", "reason").toLocalIterator()))
+
+
+def _sections(tables: dict[str, DataFrame]) -> DataFrame:
+    """A row for each reportable incident with all that its section tells: a few entries of each table."""
+    keys = ["capture_id", "incident_id"]
+
+    def listed(name: str, fields: list[str], out: str) -> DataFrame:
+        return tables[name].groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(out))
+
+    order = F.create_map(*[x for i, t in enumerate(incidents.TIERS) for x in (F.lit(t), F.lit(i))])
+    tiers = tables["tiers"].withColumn("place", order[F.col("tier")]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "tier", "fired", "fire_count", "mean_score"))).alias("tiers"))
+    ports = listed("ports", ["rank", "server_port"], "p").select(*keys, F.transform("p", lambda x: x.server_port).alias("ports"))
+    df = tables["reportable"].join(tables["persistence"], keys, "left").join(tiers, keys, "left").join(ports, keys, "left")
+    df = df.join(listed("features", ["rank", "feature", "family", "event_type", "max_sigma", "max_pct", "loading"], "features"), keys, "left")
+    return df.join(listed("techniques", ["tactic", "technique"], "techniques"), keys, "left").orderBy("start_time", *keys)
+
+
+def markdown(tables: dict[str, DataFrame], settings: Settings = Settings()) -> str:
+    return "\n".join(lines(tables, settings)) + "\n"
+
+
+def pdf(tables: dict[str, DataFrame], path: str, settings: Settings = Settings()) -> bool:
+    """The report as PDF; where the library for that is absent, a message and False."""
+    if importlib.util.find_spec("reportlab") is None:
+        logging.getLogger(__name__).warning("no PDF at %s: reportlab isn't installed", path)
+        return False
+    from reportlab.lib.styles import getSampleStyleSheet
+    from reportlab.platypus import Preformatted, SimpleDocTemplate
+
+    style = getSampleStyleSheet()["Code"]
+    SimpleDocTemplate(path).build([Preformatted(line or " ", style) for line in lines(tables, settings)])
+    return True
 
 
 def run(spark: SparkSession, packets: DataFrame, bundle: Bundle, out: str, settings: Settings = Settings()) -> dict:
@@ -207,5 +301,5 @@ def run(spark: SparkSession, packets: DataFrame, bundle: Bundle, out: str, setti
     results = spark.read.parquet(f"{out}/results.parquet")
     summary = detection_summary(results, time.time() - began)
     write_json(spark, f"{out}/summary", summary)
-    spark.createDataFrame([(line,) for line in markdown(report(results, settings)).split("\n")], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
+    spark.createDataFrame([(line,) for line in lines(report(results, settings), settings)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     return summary

@@ -1,13 +1,17 @@
 """Packet captures (PCAP and PCAP-NG) as a Spark data source: spark.read.format("capture").load(path).
 
-One partition reads one file. Rows that aren't IPv4, or whose IP payload has fewer than 20 bytes, are left out, as are
-malformed ones; what the file's header says about the link decides where the IP packet starts.
+Files are read as streams, a packet at a time. A PCAP file is split into ranges of bytes, which tasks read apart: one
+starts at the first record whose chain of records holds for longer than any record may be. PCAP-NG files are read whole.
+Rows that aren't IPv4, or whose IP payload has fewer than 20 bytes, are left out, as are malformed ones (skipped() counts
+them); what the file's header says about the link decides where the IP packet starts.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from glob import glob
 
@@ -37,39 +41,86 @@ def check_path(path: str) -> str:
     return path
 
 
-def frames(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    """(time, link type, frame) of each packet of a capture, told apart by its first bytes."""
-    if len(data) < 4:
+#: Bytes of a PCAP file that one task reads, and the longest record that is taken for one.
+SPLIT_BYTES = 128 << 20
+MOST_RECORD = 1 << 18
+_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
+_SECTION = b"\x0a\x0d\x0d\x0a"
+
+
+def frames(source, start: int = 0, end: int | None = None) -> Iterator[tuple[float, int, bytes]]:
+    """(time, link type, frame) of each packet of a capture (bytes or a stream that can seek), told apart by its first
+    bytes; of a PCAP only the records that begin in the range of bytes."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    head = stream.read(24)
+    if len(head) < 4:
         return
-    magic = data[:4]
-    if magic == b"\x0a\x0d\x0d\x0a":
-        yield from _blocks(data)
+    if head[:4] == _SECTION:
+        stream.seek(0)
+        yield from _blocks(stream)
         return
-    kinds = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
-    if magic not in kinds:
+    if head[:4] not in _MAGIC or len(head) < 24:
         raise CaptureError("neither PCAP nor PCAP-NG")
-    order, unit = kinds[magic]
-    link = struct.unpack_from(order + "I", data, 20)[0] & 0x0FFFFFFF
-    at = 24
-    while at + 16 <= len(data):
-        sec, part, kept, _ = struct.unpack_from(order + "IIII", data, at)
-        if at + 16 + kept > len(data):
+    order, unit = _MAGIC[head[:4]]
+    link = struct.unpack_from(order + "I", head, 20)[0] & 0x0FFFFFFF
+    record = struct.Struct(order + "IIII")
+    at = 24 if start <= 24 else _first_record(stream, start, record, unit)
+    if at is None:
+        return
+    stream.seek(at)
+    while (end is None or at < end) and len(top := stream.read(16)) == 16:
+        sec, part, kept, _ = record.unpack(top)
+        data = stream.read(kept)
+        if len(data) < kept:
             return
-        yield sec + part / unit, link, data[at + 16 : at + 16 + kept]
+        yield sec + part / unit, link, data
         at += 16 + kept
 
 
-def _blocks(data: bytes) -> Iterator[tuple[float, int, bytes]]:
-    order, links, units, at = "<", [], [], 0
-    while at + 12 <= len(data):
-        kind = struct.unpack_from(order + "I", data, at)[0]
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order = "<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
-            links, units, kind = [], [], 0x0A0D0D0A
-        size = struct.unpack_from(order + "I", data, at + 4)[0]
-        if size < 12 or at + size > len(data):
+def _first_record(stream, start: int, record: struct.Struct, unit: float) -> int | None:
+    """Where the first record at or after start begins; None if none does.
+
+    The search begins two longest records before. A chain of records that a packet carries in its payload ends within
+    that packet, or goes on as the file's own chain: so what is found is the file's by the time it reaches start.
+    """
+    longest = MOST_RECORD + 16
+    base = max(24, start - 2 * longest)
+    stream.seek(base)
+    data = stream.read(start - base + 2 * longest)
+    last = len(data) < start - base + 2 * longest
+    for at in range(min(len(data), 1 if base == 24 else longest)):
+        place, records, reached = at, 0, None
+        while place + 16 <= len(data):
+            if reached is None and base + place >= start:
+                reached = base + place
+            sec, part, kept, whole = record.unpack_from(data, place)
+            if base > 24 and (part >= unit or not 0 < kept <= min(whole, MOST_RECORD)):
+                break
+            place, records = place + 16 + kept, records + 1
+            # Longer than what one record could hold, or up to the end, which may cut off the last record.
+            if reached is not None and (place - at > longest or base == 24):
+                return reached
+        else:
+            if base == 24 or last and (place == len(data) or records > 8):
+                return reached
+    return None
+
+
+def _blocks(stream) -> Iterator[tuple[float, int, bytes]]:
+    order, links, units = "<", [], []
+    while len(top := stream.read(8)) == 8:
+        if top[:4] == _SECTION:
+            mark = stream.read(4)
+            order = "<" if mark == b"\x4d\x3c\x2b\x1a" else ">"
+            links, units = [], []
+            stream.seek(-4, io.SEEK_CUR)
+        kind, size = struct.unpack(order + "II", top)
+        if size < 12:
             return
-        body = data[at + 8 : at + size - 4]
+        body = stream.read(size - 8)
+        if len(body) < size - 8:
+            return
+        body = body[:-4]
         if kind == 1:
             links.append(struct.unpack_from(order + "H", body)[0])
             units.append(_resolution(body[8:], order))
@@ -79,7 +130,6 @@ def _blocks(data: bytes) -> Iterator[tuple[float, int, bytes]]:
                 yield ((high << 32) | low) / units[face], links[face], body[20 : 20 + kept]
         elif kind == 3 and links:
             yield 0.0, links[0], body[4:]
-        at += size
 
 
 def _resolution(options: bytes, order: str) -> float:
@@ -130,29 +180,47 @@ def parse(time: float, link: int, frame: bytes) -> tuple | None:
     return time, len(frame), number, src, dst, flags, len(payload), entropy_of(payload)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def rows_of(source, start: int = 0, end: int | None = None, counts: Counter | None = None) -> Iterator[tuple]:
+    """Rows of the frames that are IPv4 and well formed; counts gets how many of each kind there were."""
+    counts = Counter() if counts is None else counts
+    for time, link, frame in frames(source, start, end):
+        counts["frames"] += 1
+        try:
+            row = parse(time, link, frame)
+        except (struct.error, IndexError):
+            counts["malformed"] += 1
+            continue
+        if row:
+            counts["rows"] += 1
+            yield row
+        else:
+            counts["left_out"] += 1
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int = 0, end: int | None = None):
+        self.path, self.start, self.end = path, start, end
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         path = options.get("path") or ""
         self.paths = sorted(glob(f"{path}/*.pcap*")) if os.path.isdir(path) else [check_path(path)]
+        self.split = int(options.get("splitBytes") or SPLIT_BYTES)
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        out = []
+        for path in self.paths:
+            size = os.path.getsize(path)
+            with open(path, "rb") as f:
+                whole = f.read(4) not in _MAGIC
+            out += [_Range(path)] if whole or size <= self.split else [_Range(path, at, at + self.split) for at in range(0, size, self.split)]
+        return out
 
     def read(self, partition):
         name = os.path.basename(partition.path)
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        for time, link, frame in frames(data):
-            try:
-                row = parse(time, link, frame)
-            except (struct.error, IndexError):
-                continue
-            if row:
+        with open(partition.path, "rb", buffering=1 << 20) as f:
+            for row in rows_of(f, partition.start, partition.end):
                 yield (name, *row)
 
 
@@ -178,13 +246,8 @@ def _parsed(batches):
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             rows = []
-            for time, link, frame in frames(content):
-                try:
-                    row = parse(time, link, frame)
-                except (struct.error, IndexError):
-                    continue
-                if row:
-                    rows.append((path.rsplit("/", 1)[-1], *row))
+            for row in rows_of(content):
+                rows.append((path.rsplit("/", 1)[-1], *row))
                 if len(rows) >= 20_000:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                     rows = []
@@ -193,11 +256,32 @@ def _parsed(batches):
 
 
 def read_captures(spark: SparkSession, path: str, bucket_seconds: float = 1.0) -> DataFrame:
-    """Packets of the captures at a path of any store that Spark reads, ready for windows."""
+    """Packets of the captures at a path of any store that Spark reads, ready for windows.
+
+    Such files are held whole, of 2 GB at most, as Spark reads them; larger ones go through the format "capture", by a
+    path that executors can open.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return as_packets(files.mapInArrow(_parsed, SCHEMA), bucket_seconds)
 
 
+def skipped(spark: SparkSession, path: str) -> DataFrame:
+    """capture_id, frames, rows, left_out (not IPv4, or too short) and malformed of each capture at a path of any store."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                counts = Counter()
+                for _ in rows_of(content, counts=counts):
+                    pass
+                yield pa.record_batch([pa.array([name.rsplit("/", 1)[-1]]), *(pa.array([counts[k]], pa.int64()) for k in kinds)], names=["capture_id", *kinds])
+
+    kinds = ("frames", "rows", "left_out", "malformed")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(count, "capture_id string, frames long, rows long, left_out long, malformed long")
+
+
 def as_packets(rows: DataFrame, bucket_seconds: float = 1.0) -> DataFrame:
     """Rows of the source with names, flags, direction and bucket (whole buckets of epoch time)."""
     flags = [((F.col("flags").bitwiseAND(F.lit(bit).cast("long"))) != 0).cast("int").alias(f"tcp_flags_{f}") for f, bit in FLAG_BITS.items()]
