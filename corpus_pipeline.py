@@ -1,6 +1,14 @@
 """From documents to sharded training text: quality rules, near duplicates, benchmark passages, mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Rows that stages may meet, and what becomes of them: a null or empty text, or one without words, has too few words and
+goes in the first stage (given to a later stage, it stays: it is no duplicate, holds no item, and has size 1). Rows with
+equal doc_id and text are one document from the second stage on; rows with equal doc_id and other texts are documents of
+their own, as are those with a null doc_id. Of equal scores the smallest doc_id stays, a null one counting as smallest
+for order and losing to any other as the name of a group. A null source is a source of its own. Very long texts are read
+whole. Further columns are carried; one named size, shard or slot gives way to the last stage's. Empty tables give empty
+results with the same columns; without labels of both kinds the field has fixed weights.
 """
 
 from __future__ import annotations
@@ -16,27 +24,27 @@ from tidemark.llm.sharding import shard_by_bytes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line field reject go."""
+    """Documents that the base rules or the line field reject go; a null text has no words, so its row goes."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """Of each group of near duplicates the smallest doc_id stays; texts without words are no duplicates, and stay."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, up to its edits, go."""
+    """Documents that hold a benchmark item, up to its edits, go; null and empty texts and items hold and are nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stays, those of small sources up to 1.5 times on average."""
+    """Each document stays, those of small sources up to 1.5 times on average; rows that are read twice come twice."""
     return realise(docs, plan_mixture(docs), epoch="__epoch", order="__mix_order").select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of near equal bytes, with each row's slot."""
+    """Eight shards of near equal bytes, with each row's slot; a null text has size 1."""
     return shard_by_bytes(docs, 8)
 
 
