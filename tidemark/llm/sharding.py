@@ -63,25 +63,32 @@ def _histogram(thin: DataFrame, keys: list[int]) -> tuple[list[int], list[int]]:
     return list(np.cumsum(total[:-1], dtype=object)), list(np.cumsum(rows[:-1], dtype=object))
 
 
-def _between(low: int, high: int, n: int) -> list[int]:
-    """Up to n keys strictly between two; whole groups (equal first half) as long as these lie between."""
+def _between(low: int, high: int, n: int, least: int, most: int) -> list[int]:
+    """Up to n or so keys strictly between two; whole groups (equal first half) as long as these lie between, then places
+    among the second halves that occur, least to most (but for nulls, below least)."""
     a, b = low >> 64, high >> 64
     if b - a > 1:
         return sorted({((a + (b - a) * i // (n + 1)) << 64) | TOP for i in range(1, n + 1)} - {low, high})
-    return sorted({low + (high - low) * i // (n + 1) for i in range(1, n + 1)} - {low, high})
+    keys: set[int] = set()
+    for group in {a, b} if a >= 0 else {b}:
+        first, last = max(low + 1, group << 64 | max(least - 1, 0)), min(high - 1, group << 64 | most)
+        keys.update(first + (last - first) * i // n for i in range(n + 1) if first <= last)
+    return sorted(keys)
 
 
 def find_splitters(thin: DataFrame, n_shards: int, buckets: int, tolerance: float, loose: float, total: int) -> list[int]:
     """The n_shards * buckets - 1 keys that part the rows; those between shards to the tolerance, others to loose."""
+    ends = thin.filter(F.col("low") > -(1 << 63)).agg(F.min("low"), F.max("low")).first()
+    least, most = ((v or 0) + SIGN for v in ends)
     n = n_shards * buckets
     targets = [total * i // n for i in range(1, n)]
     slack = [max(1, int((tolerance if i % buckets == 0 else loose) * total / (n_shards if i % buckets == 0 else n))) for i in range(1, n)]
     lows, highs = {i: (-1, 0) for i in range(n - 1)}, {i: ((1 << 128) - 1, total) for i in range(n - 1)}
     open_, best = set(lows), {}
     while open_:
-        keys: set[int] = set()
-        for i in open_:
-            keys.update(_between(lows[i][0], highs[i][0], PROBES))
+        probes = {i: _between(lows[i][0], highs[i][0], PROBES, least, most) for i in open_}
+        open_ = {i for i in open_ if probes[i]}  # else no rows lie between
+        keys = set().union(*(probes[i] for i in open_))
         if not keys:
             break
         ordered = sorted(keys)
