@@ -1,57 +1,20 @@
-"""What the text operators share: the scratch folder, staged tables and column conventions."""
+"""What the text operators share: staged tables, joins that split heavy keys, and column conventions."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.scratch import discard, scratch, shared_root, staged
+
+__all__ = ["WORD", "discard", "documents", "in_pieces", "scratch", "shared_root", "split_join", "staged", "table", "text_or_empty", "unsigned_crc32"]
+
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy when it holds more than one in so many rows; there are fewer heavy keys than this, whatever the input.
 HEAVY_SHARE = 1000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir. Where that is unset, a local master gets one of
-    its own; on a cluster, where no folder is known to be shared, that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _LOCAL_ROOTS.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="tidemark-")
-        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
-    return root.rstrip("/")
-
-
-_LOCAL_ROOTS: dict[str, str | None] = {}
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, label: str, *by: str) -> DataFrame:
-    """Write the frame to the shared folder (in folders by the columns) and read it again: lineage ends in files that
-    outlive any executor."""
-    path = scratch(df.sparkSession, label)
-    df.write.partitionBy(*by).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what staged() wrote, once everything that is read from it has been written elsewhere."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """left joined to right, which has a row for each key at most, by columns without nulls.
 
