@@ -37,9 +37,9 @@ def staged(df: DataFrame, label: str, *by: str) -> DataFrame:
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete what staged() wrote, once everything that is read from it has been written elsewhere."""
+def discard(*frames: DataFrame, folder: str = "") -> None:
+    """Delete what staged() wrote (or one folder of it), once everything that is read from it has been written elsewhere."""
     for df in frames:
         spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{df.staged_at}/{folder}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
