@@ -347,6 +347,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     if rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # else a class has one row here
         own = own.dropDuplicates(["d1", "d2"])
     own = staged(own, "segment-texts")
+    discard(ends)
+    discard(scan, folder="found=1")
 
     placed = staged(own.mapInArrow(_shapes(length), PLACED), "placed")
     place = F.struct("d1", "d2", "first", "last")
@@ -366,7 +368,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
         lists = places.groupBy("d1", "d2").agg(F.collect_list(F.struct(*[c for c in of if c not in ("d1", "d2")])).alias("wanted"))
         return own.join(lists, ["d1", "d2"]).select("d1", "d2", "text", "wanted")
 
-    extra = [pair]
+    extra: list[DataFrame] = []
     if n_crowded:
         windows = staged(with_text(many).mapInArrow(_windows(length), WINDOWS), "windows")
         at = F.struct("d1", "d2", "at")
@@ -378,10 +380,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
     size = indexed.agg(F.sum(F.col("last") - F.col("first") + length)).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     regions = staged(with_text(indexed).mapInArrow(_regions(length, parts, batches), REGION), "regions", "batch")
-    family = IndexFamily(length)
-    matched = [family.add(regions.filter(F.col("batch") == b).drop("batch"), last=b == batches - 1) for b in range(batches)]
+    discard(pair)
+    family, matched = IndexFamily(length), []
+    for b in range(batches):
+        matched.append(family.add(regions.filter(F.col("batch") == b).drop("batch"), last=b == batches - 1))
+        discard(regions, folder=f"batch={b}")
     matched = staged(functools.reduce(DataFrame.unionByName, matched), "matched")
-    discard(regions, *family.written)
+    discard(*family.written)
     hits = matched.filter("whole = 1").select("h", "shape", "low", "high")
     if n_crowded:
         prints = matched.filter("whole = 0").select(F.col("h").alias("print")).distinct()
@@ -389,7 +394,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: in
         hits = hits.unionByName(split_join(windows, prints, ["print"]).select("h", "shape", low.alias("low"), low.alias("high")))
     counts = alike.select("h", "shape", "n")
     by_place = split_join(placed, staged(_runs_of(hits), "runs"), ["h", "shape"], counts=counts)
-    discard(ends, anchors, alike, matched, *extra)
+    discard(anchors, alike, matched, *extra)
     spans = by_place.groupBy("d1", "d2").agg(F.flatten(F.collect_list(F.transform("matched", lambda m: F.struct((F.col("first") + m.low).alias("low"), (F.col("first") + m.high).alias("high"))))).alias("runs"))
     changed = own.filter("copies = 1").join(spans, ["d1", "d2"]).mapInArrow(_cut(length), "d1 long, d2 long, n_removed long, n_spans long, kept binary")
     copies = staged(classes.select("d1", "d2", "copies", F.col("copies").alias("n")), "copies")
