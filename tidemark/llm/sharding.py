@@ -12,6 +12,7 @@ table gives no rows; a column of the input with the name of an output column is
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -43,24 +44,29 @@ def _probe_bytes(keys: list[int]) -> np.ndarray:
     return np.array([k.to_bytes(16, "big") for k in keys], "S16")
 
 
-def _histogram(thin: DataFrame, keys: list[int]) -> tuple[list[int], list[int]]:
-    """Exact bytes and rows at or below each key; keys ascend."""
+def _histogram(thin: DataFrame, keys: list[int]) -> tuple[list[int], list[int], dict[int, tuple[int, int]]]:
+    """Exact bytes and rows at or below each key; keys ascend. Also the least and greatest first half of the keys that
+    occur between two (after key i - 1, up to key i)."""
     probes = _probe_bytes(keys)
 
     def count(batches):
         total, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
+        first, last = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), np.iinfo(np.int64).min)
         for b in batches:
-            at = np.searchsorted(probes, _packed(b.column("high").to_numpy(), b.column("low").to_numpy()))
+            high = b.column("high").to_numpy()
+            at = np.searchsorted(probes, _packed(high, b.column("low").to_numpy()))
             np.add.at(total, at, b.column("size").to_numpy())
+            np.minimum.at(first, at, high)
+            np.maximum.at(last, at, high)
             rows += np.bincount(at, minlength=len(rows))
         used = np.flatnonzero(rows)
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used]), pa.array(rows[used])], names=["at", "bytes", "rows"])
+        yield pa.record_batch([pa.array(c[used]) for c in (np.arange(len(rows)), total, rows, first, last)], names=["at", "bytes", "rows", "first", "last"])
 
-    found = thin.mapInArrow(count, "at long, bytes long, rows long").groupBy("at").agg(F.sum("bytes"), F.sum("rows")).collect()
-    total, rows = [0] * (len(keys) + 1), [0] * (len(keys) + 1)
-    for at, b, n in found:
-        total[at], rows[at] = b, n
-    return list(np.cumsum(total[:-1], dtype=object)), list(np.cumsum(rows[:-1], dtype=object))
+    sums = thin.mapInArrow(count, "at long, bytes long, rows long, first long, last long").groupBy("at")
+    total, rows, spans = [0] * (len(keys) + 1), [0] * (len(keys) + 1), {}
+    for at, b, n, first, last in sums.agg(F.sum("bytes"), F.sum("rows"), F.min("first"), F.max("last")).collect():
+        total[at], rows[at], spans[at] = b, n, (first + SIGN, last + SIGN)
+    return list(np.cumsum(total[:-1], dtype=object)), list(np.cumsum(rows[:-1], dtype=object)), spans
 
 
 def _between(low: int, high: int, n: int, least: int, most: int) -> list[int]:
@@ -92,9 +98,9 @@ def find_splitters(thin: DataFrame, n_shards: int, buckets: int, tolerance: floa
         if not keys:
             break
         ordered = sorted(keys)
-        below, _ = _histogram(thin, ordered)
+        below, _, spans = _histogram(thin, ordered)
         for i in list(open_):
-            at = int(np.searchsorted(np.array(below, dtype=object), targets[i]))
+            at = bisect_left(below, targets[i])
             for j in (at - 1, at):
                 if 0 <= j < len(ordered):
                     miss = abs(below[j] - targets[i])
@@ -104,6 +110,9 @@ def find_splitters(thin: DataFrame, n_shards: int, buckets: int, tolerance: floa
                 lows[i] = (ordered[at - 1], below[at - 1])
             if at < len(ordered) and ordered[at] < highs[i][0]:
                 highs[i] = (ordered[at], below[at])
+            if at in spans and 0 < at < len(ordered):  # what lies between begins and ends with these groups
+                lows[i] = (max(lows[i][0], (spans[at][0] << 64) - 1), lows[i][1])
+                highs[i] = (min(highs[i][0], (spans[at][1] << 64) | TOP), highs[i][1])
             if best.get(i, (slack[i] + 1,))[0] <= slack[i] or highs[i][0] - lows[i][0] <= 1:
                 open_.discard(i)
     for i in range(n - 1):
@@ -126,7 +135,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001,
     buckets = max(LEAST_BUCKETS, min(MOST_SPLITTERS // n_shards, math.ceil(total / n_shards / bucket_bytes)))
     keys = find_splitters(thin, n_shards, buckets, tolerance, 0.2, total)
     distinct = sorted(set(keys))
-    _, below = _histogram(thin, distinct)
+    _, below, _ = _histogram(thin, distinct)
     rows_below = dict(zip(distinct, below, strict=True))
     starts = [0, *(rows_below[k] for k in keys)]
     bases = np.array([starts[b] - starts[b - b % buckets] for b in range(n_shards * buckets)], np.int64)
