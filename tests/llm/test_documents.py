@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import ORACLE, same_rows
-from tidemark.llm import decontamination, line_dedup, mixing, near_duplicates, private_data, quality, queries, repeats, sharding
+from tidemark.llm import components, decontamination, line_dedup, mixing, near_duplicates, private_data, quality, queries, repeats, sharding
+from tidemark.llm.common import split_join
 from tidemark.llm.components import connected_components
 
 
@@ -21,6 +22,15 @@ def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_split_joins_equal_plain_ones(spark, how):
+    left = spark.createDataFrame([(1, "a", i) for i in range(4000)] + [(2, "b", i) for i in range(1500)] + [(i, "c", i) for i in range(300)], "k long, t string, v long")
+    right = spark.createDataFrame([(1, "a", 10), (5, "c", 50), (7, "c", 70), (9, "x", 90)], "k long, t string, w long")
+    got = split_join(left, right, ["k", "t"], how).collect()
+    assert order(map(tuple, got)) == order(map(tuple, left.join(right, ["k", "t"], how).collect()))
+    assert len(got) == {"inner": 4002, "left": 5800, "left_semi": 4002}[how]
+
+
 # ---- lines ----
 
 
@@ -128,7 +138,9 @@ def test_tree_join_loses_no_link(sets):
     assert set(across) <= {(i, j) for i, j in real if i < half <= j}
 
 
-def test_components_of_paths(spark):
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_components_of_paths(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL_EDGES", small)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (200, 150), (150, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 150: 150, 200: 150, 300: 150}

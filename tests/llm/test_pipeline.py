@@ -26,7 +26,7 @@ def test_stages(spark, tmp_path):
 def _tables(spark, hard, folder, docs, labels):
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame([(1, None), (2, ""), (3, "cat"), (4, "one two three four")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "zq"), (4, "one two three four")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 

@@ -13,6 +13,7 @@ __all__ = ["WORD", "discard", "documents", "in_pieces", "scratch", "shared_root"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key is heavy when it holds more than one in so many rows; there are fewer heavy keys than this, whatever the input.
 HEAVY_SHARE = 1000
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
@@ -43,6 +44,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's. Arrow batches of texts are held to BATCH_ROWS, one value for all operators, unless the
+    session has another than Spark's default: it bounds what workers hold, and results don't depend on it."""
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_root, split_join, staged
+from tidemark.llm.common import documents, shared_root, split_join, staged
 from tidemark.llm.tokens import drops_white_space, grouped, shared_encoder, vocabulary_path
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -78,5 +78,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
 
 def op7_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache stays in the shared folder for later runs, which encode what is new alone."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return count_tokens(docs, "word_bpe_49k.json", f"{shared_root(spark)}/tidemark-token-counts")
