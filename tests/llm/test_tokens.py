@@ -105,3 +105,24 @@ def test_it_compresses():
     ids = np.array(([5, 6, 7, 8, 9] * 400 + [2]) * 20, "<u4")
     _, rules, seq = repair.compress(ids, 2)
     assert len(seq) + 2 * len(rules) < len(ids) / 10
+
+
+def test_a_stem_is_merged_once(monkeypatch):
+    texts = ["word word, Word. WORD! (word) other", "wörd WÖRD; word's --", "other..."]
+    merge, given_ = encoder.merges.encode, []
+    monkeypatch.setattr(encoder.merges, "encode", lambda data, starts, lengths: given_.extend(data[a : a + n].tobytes().decode() for a, n in zip(starts, lengths, strict=True)) or merge(data, starts, lengths))
+    assert encoder.encode(texts) == [np.array(direct(t), "<u4").tobytes() for t in texts]
+    assert sorted(given_) == ["other", "word", "wörd"]
+
+
+@pytest.mark.parametrize("ids", [np.tile(np.arange(5, 905), 30), np.r_[np.tile(np.arange(5, 45), 14), np.arange(50, 3000)], np.full(4000, 7), np.arange(5, 65), np.r_[np.full(20, 65535), np.arange(5, 30)], np.arange(65500, 65536)])
+def test_a_symbol_is_expanded_once(ids, monkeypatch):
+    """Where copies of symbols abound, rules are followed for one of each; else for the sequence."""
+    rows = [np.r_[x, 2].astype(np.uint32) for x in np.array_split(ids, 3)]
+    block = repair.Block(repair.pack(np.concatenate(rows), np.array(list(map(len, rows))), 2))
+    plain, followed = repair.Block._by_rules, []
+    monkeypatch.setattr(repair.Block, "_by_rules", lambda self, seq: followed.append(seq) or plain(self, seq))
+    assert block.all_ids().tolist() == np.concatenate(rows).tolist() == plain(block, block.seq).tolist()
+    assert block.sizes().tolist() == list(map(len, rows))
+    assert [block.document(i).tolist() for i in range(3)] == [r.tolist() for r in rows]
+    assert all(len(seq) <= len(block.seq) for seq in followed)

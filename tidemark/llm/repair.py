@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, scratch, text_or_empty
-from tidemark.llm.tokens import grouped, shared_encoder
+from tidemark.llm.tokens import gather, grouped, shared_encoder
 
 BLOCK_IDS = 1 << 20
 LEAST = 12
@@ -32,17 +32,26 @@ _HEAD = struct.Struct("<4sIIIIB")
 BLOCKS = "part int, block int, start_in_part long, n_ids long, doc_ids array<bigint>, payload binary"
 
 
-def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs as codes in ascending order, and where each stands; equal ones in order of their places."""
+def _by_pair(left: np.ndarray, right: np.ndarray, at: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of the pairs that stand at least times in ascending order, how often each does, where in turn)."""
     bits, low = int(max(left.max(), right.max())).bit_length(), size.bit_length()
-    codes = (left.astype(np.uint64) << np.uint64(32)) | right
-    if 2 * bits + low > 64:
-        order = np.argsort(codes, kind="stable")
-        return codes[order], at[order]
-    keys = (((left.astype(np.uint64) << np.uint64(bits)) | right) << np.uint64(low)) | at.astype(np.uint64)
-    keys.sort()
-    pairs, at = keys >> np.uint64(low), (keys & np.uint64((1 << low) - 1)).astype(np.int64)
-    return ((pairs >> np.uint64(bits)) << np.uint64(32)) | (pairs & np.uint64((1 << bits) - 1)), at
+    fits = 2 * bits + low <= 64  # the pair and its place are one key
+    if fits:
+        keys = (((left.astype(np.uint64) << np.uint64(bits)) | right) << np.uint64(low)) | at.astype(np.uint64)
+        keys.sort()
+        pairs = keys >> np.uint64(low)
+    else:
+        pairs = (left.astype(np.uint64) << np.uint64(32)) | right
+        order = np.argsort(pairs, kind="stable")
+        pairs, at = pairs[order], at[order]
+    starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    sizes = np.diff(np.r_[starts, len(pairs)])
+    big = np.repeat(sizes >= least, sizes)
+    at = (keys[big] & np.uint64((1 << low) - 1)).astype(np.int64) if fits else at[big]
+    codes = pairs[starts[sizes >= least]]
+    if fits:
+        codes = ((codes >> np.uint64(bits)) << np.uint64(32)) | (codes & np.uint64((1 << bits) - 1))
+    return codes, sizes[sizes >= least], at
 
 
 def compress(ids: np.ndarray, end: int, least: int = LEAST):
@@ -69,34 +78,30 @@ def compress(ids: np.ndarray, end: int, least: int = LEAST):
         some = np.flatnonzero((np.bincount(slot, minlength=1 << SLOT_BITS) >= least)[slot])  # others are in no frequent pair
         if len(some) < least:
             break
-        codes, at = _by_pair(left[some], right[some], live[some], n)
-        same = codes[1:] == codes[:-1]
-        starts = np.flatnonzero(np.r_[True, ~same])
-        sizes = np.diff(np.r_[starts, len(codes)])
-        big = np.repeat(sizes >= least, sizes)
-        kept, at, same = codes[starts[sizes >= least]], at[big], np.r_[False, same][big]
-        group = np.cumsum(~same) - 1
+        places = live[some]
+        kept, sizes, at = _by_pair(left[some], right[some], places, n, least)
+        group = np.repeat(np.arange(len(kept)), sizes)
         free = np.ones(len(at), bool)
-        follows = np.flatnonzero(same[1:] & (after[at[:-1]] == at[1:])) + 1
+        twins = np.flatnonzero(np.repeat((kept >> np.uint64(32)) == (kept & np.uint64(0xFFFFFFFF)), sizes))
+        twins = twins[twins > 0]
+        follows = twins[(group[twins] == group[twins - 1]) & (after[at[twins - 1]] == at[twins])]
         if len(follows):  # of pairs of equal ids that overlap in a run every second one, from the left
-            place = np.arange(len(at))
-            run = place.copy()
-            run[follows] = 0
-            free = (place - np.maximum.accumulate(run)) % 2 == 0
+            place = np.arange(len(follows))
+            run = np.where(np.r_[True, np.diff(follows) != 1], place, 0)
+            free[follows] = (place - np.maximum.accumulate(run)) % 2 == 1
         counts = np.bincount(group[free], minlength=len(kept))
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
         level = np.frexp(counts[good].astype(float))[1]
+        good = good[np.lexsort((kept[good] * np.uint64(0x9E3779B97F4A7C15), -level))]
         rank = np.full(len(kept), none, np.int32)
-        rank[good[np.lexsort((kept[good] * np.uint64(0x9E3779B97F4A7C15), -level))]] = np.arange(len(good))
-        own = rank[group]
-        can = np.flatnonzero(free & (own < none))
-        spot, own = at[can], own[can]
-        ranks[spot] = own
-        wins = (own < ranks[before[spot]]) & (own < ranks[after[spot]])
-        ranks[spot] = none
-        spot, won = spot[wins], group[can[wins]]
+        rank[good] = np.arange(len(good))
+        ranks[at] = np.where(free, rank[group], none)
+        own = ranks[places]  # from here on in order of places, which memory likes
+        wins = (own < ranks[before[places]]) & (own < ranks[after[places]])
+        ranks[places] = none
+        spot, won = places[wins], good[own[wins]]
         enough = np.bincount(won, minlength=len(kept)) >= least
         keep = enough[won]
         spot, number = spot[keep], (np.cumsum(enough) - 1)[won[keep]]
@@ -148,7 +153,15 @@ class Block:
         self.lengths = np.frombuffer(payload, "<u4", rules, at := at + 8 * rules)
         self.seq = np.frombuffer(payload, f"<u{width}", n, at + 4 * rules)
 
-    def _expand(self, seq: np.ndarray) -> np.ndarray:
+    def _counts(self, seq: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        counts = np.ones(len(seq), np.int64)
+        big = np.flatnonzero(seq >= self.base)
+        counts[big] = self.lengths[seq[big].astype(np.int64) - self.base]
+        return counts
+
+    def _by_rules(self, seq: np.ndarray) -> np.ndarray:
+        """The ids that seq stands for, all symbols replaced by their rules until none is left."""
         seq = seq.astype(np.uint32)
         while len(seq) and (big := seq >= self.base).any():
             out = np.repeat(seq, 1 + big)
@@ -158,6 +171,23 @@ class Block:
             seq = out
         return seq
 
+    def _expand(self, seq: np.ndarray) -> np.ndarray:
+        """The same, with each used symbol expanded once where that is the smaller part of the work."""
+        seq = seq.astype(np.uint32)
+        big = np.flatnonzero(seq >= self.base)
+        if not len(big):
+            return seq
+        counts = self._counts(seq)
+        used = np.flatnonzero(np.bincount(seq[big] - self.base))
+        widths = self.lengths[used].astype(np.int64)
+        if 2 * int(widths.sum()) > int(counts.sum()):
+            return self._by_rules(seq)
+        starts = np.arange(len(seq))
+        begin = np.zeros(len(self.rules), np.int64)
+        begin[used] = len(seq) + np.cumsum(widths) - widths
+        starts[big] = begin[seq[big] - self.base]
+        return gather(np.concatenate([seq, self._by_rules((used + self.base).astype(np.uint32))]), starts, counts)
+
     def all_ids(self) -> np.ndarray:
         return self._expand(self.seq)
 
@@ -165,8 +195,7 @@ class Block:
         return self._expand(self.seq[self.starts[i] : self.starts[i + 1]])
 
     def sizes(self) -> np.ndarray:
-        width = np.where(self.seq >= self.base, self.lengths[np.maximum(self.seq.astype(np.int64) - self.base, 0)] if len(self.rules) else 1, 1)
-        total = np.r_[0, np.cumsum(width, dtype=np.int64)]
+        total = np.r_[0, np.cumsum(self._counts(self.seq))]
         return np.diff(total[self.starts])
 
     def id_at(self, i: int, k: int) -> int:

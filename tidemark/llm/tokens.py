@@ -91,11 +91,14 @@ class Merges:
                     rows, symbols, ranks, best, value = rows[live], symbols[live], ranks[live], best[live], value[live]
                     if not len(rows):
                         break
-                symbols[np.arange(len(rows)), best] = self.made[value]
-                place = np.arange(width - 1)
-                symbols = np.take_along_axis(symbols, place + (place > best[:, None]), 1)
-                place = place[:-1]
-                ranks = np.take_along_axis(ranks, place + (place >= best[:, None]), 1)
+                row = np.arange(len(rows))
+                symbols[row, best] = self.made[value]
+                stays = np.ones(symbols.shape, bool)
+                stays[row, best + 1] = False
+                symbols = symbols[stays].reshape(len(rows), width - 1)
+                stays = np.ones(ranks.shape, bool)
+                stays[row, best] = False
+                ranks = ranks[stays].reshape(len(rows), width - 2)
                 before, after = np.flatnonzero(best > 0), np.flatnonzero(best < width - 2)
                 at = best[before]
                 ranks[before, at - 1] = self.rank(symbols[before, at - 1], symbols[before, at])
@@ -120,6 +123,16 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def distinct_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which of the distinct ones each data[start:start + length] is, the bytes of the distinct ones in turn, where each starts and the last ends)."""
+    if not len(starts):
+        return np.zeros(0, np.int64), data[:0], np.zeros(1, np.int64)
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(gather(data, starts, lengths))]).dictionary_encode()
+    _, bounds, found = runs.dictionary.buffers()
+    return runs.indices.to_numpy(), np.frombuffer(found, np.uint8), np.frombuffer(bounds, np.int32, len(runs.dictionary) + 1).astype(np.int64)
+
+
 class Encoder:
     """Encodes texts exactly as the library does, without special tokens being added.
 
@@ -165,12 +178,10 @@ class Encoder:
             return np.concatenate(rows) if rows else np.zeros(0, np.uint32), np.array(list(map(len, rows)), np.int64)
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        which = words.indices.to_numpy()
         ids, counts = self._distinct(words.dictionary)
-        starts = np.cumsum(counts) - counts
-        sizes = np.r_[0, np.cumsum(counts[which])]
+        runs = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int64()), pa.array(ids, pa.uint32())).take(words.indices)
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py() if len(split) else np.zeros(1, np.int64)
-        return gather(ids, starts[which], counts[which]), np.diff(sizes[bounds])
+        return runs.flatten().to_numpy(), np.diff(runs.offsets.to_numpy()[bounds])
 
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the pieces in turn, how many each has)."""
@@ -191,25 +202,28 @@ class Encoder:
         wrong = np.r_[0, np.cumsum(~letter)]
         fit = (stem_ends > starts) & (wrong[stem_ends] == wrong[starts])
         rows, others = np.flatnonzero(fit), np.flatnonzero(~fit)
-        stem_ids, stem_counts = self.merges.encode(data, starts[rows], stem_ends[rows] - starts[rows])
+        lengths = stem_ends[rows] - starts[rows]
+        of, stems, bounds = distinct_runs(data, starts[rows], lengths)
+        stem_ids, stem_counts = self.merges.encode(stems, bounds[:-1], np.diff(bounds))
         tailed = rows[stem_ends[rows] < ends[rows]]
-        strings = pieces.take(pa.array(np.r_[tailed, others])).to_pylist()
-        tails = [x[-n:] for x, n in zip(strings, (ends - stem_ends)[tailed].tolist(), strict=False)]
-        fresh = list(set(tails).difference(self._marks))
+        tail_of, signs, bounds = distinct_runs(data, stem_ends[tailed], (ends - stem_ends)[tailed])
+        tails = [signs[a:b].tobytes().decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        fresh = [x for x in tails if x not in self._marks]
         self._marks.update(zip(fresh, (np.asarray(x, np.uint32) for x in self._encode(fresh)), strict=True))
-        other_ids, other_counts = self._by_library(strings[len(tailed) :])
-        tail_counts = np.array([len(self._marks[x]) for x in tails], np.int64)
+        marks = [self._marks[x] for x in tails]
+        other_ids, other_counts = self._by_library(pieces.take(pa.array(others)).to_pylist())
+        tail_counts = np.array(list(map(len, marks)), np.int64)
         # Stems, tails and others stand in one array; each piece is one run of it, but for those with a tail.
         counts = np.zeros(len(pieces), np.int64)
-        counts[rows], counts[others] = stem_counts, other_counts
+        counts[rows], counts[others] = stem_counts[of], other_counts
         firsts = np.cumsum(np.concatenate([[0], stem_counts, other_counts]))
         begin = np.zeros(len(pieces), np.int64)
-        begin[rows], begin[others] = firsts[: len(rows)], firsts[len(rows) : -1]
-        pool = np.concatenate([stem_ids, other_ids, *[self._marks[x] for x in tails]]) if len(tails) else np.concatenate([stem_ids, other_ids])
+        begin[rows], begin[others] = firsts[of], firsts[len(stem_counts) : -1]
+        pool = np.concatenate([stem_ids, other_ids, *marks])
         tail_begin = firsts[-1] + np.cumsum(tail_counts) - tail_counts
         two = np.zeros((len(pieces), 2, 2), np.int64)  # start and count of each half
         two[:, 0, 0], two[:, 0, 1] = begin, counts
-        two[tailed, 1, 0], two[tailed, 1, 1] = tail_begin, tail_counts
+        two[tailed, 1, 0], two[tailed, 1, 1] = tail_begin[tail_of], tail_counts[tail_of]
         flat = two.reshape(-1, 2)
         return gather(pool, flat[:, 0], flat[:, 1]), two[:, :, 1].sum(1)
 
