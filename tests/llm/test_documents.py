@@ -189,6 +189,24 @@ def test_repeats_of_texts_with_one_id(spark):
     assert order(got) == order(want) and len(changed) == 5
 
 
+def passage(mark, size):
+    """59 words, as many as the longest benchmark item has, of so many bytes."""
+    plain = " ".join(f"{'é' if i % 2 else 'e'}{mark}{i:03}" for i in range(59))
+    return plain + "x" * (size - len(plain.encode()))
+
+
+def test_repeats_query_goes_by_400_bytes_and_not_by_words(spark, hard, tmp_path):
+    sizes = {"p": 394, "q": 399, "r": 400, "s": 401}
+    rows = [(1000 + 2 * i + j, f"{sides}{mark}{sides[0]}{passage(mark, size)}{sides[1]}{mark}") for i, (mark, size) in enumerate(sizes.items()) for j, sides in enumerate(("[]", "()"))]
+    docs = hard.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    given_rows = pairs(docs)
+    want = [(d, n, k, s, hashlib.sha256(kept).hexdigest()) for (d, _), (n, k, s, kept) in zip(given_rows, brute_repeats([(t or "").encode() for _, t in given_rows], 400), strict=True)]
+    got = [tuple(r) for r in queries.QUERIES["op4_index_family"](spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
+    assert order(got) == order(want)
+    assert [k for d, _, k, *_ in sorted(r for r in got if (r[0] or 0) >= 1000)] == [0, 0, 0, 0, 400, 400, 401, 401]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.text("ab\x00", min_size=8, max_size=30), min_size=1, max_size=5), min_size=1, max_size=5))
 def test_levels_are_suffix_arrays(batches):
